@@ -6,16 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import superminhash
+from . import mixing, orc_tokens, superminhash
 from .common import table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.tokenize(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_superminhash": op4_superminhash}
+    return {"op4_superminhash": op4_superminhash, "op6_orc_tokens": op6_orc_tokens, "op8_mixing": op8_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
