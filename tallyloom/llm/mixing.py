@@ -146,3 +146,13 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tupl
     took = F.when(F.col("draws").isNull(), F.lit(0)).otherwise((F.col("draws") - 1) * whole + last)
     some = pieces.withColumn("took", took).groupBy("sid", "lo", "doc_id", "size", "source_size", "target").agg(F.sum("took").alias("taken"))
     return none.unionByName(some.select("doc_id", "size", "source_size", "target", "taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix holds them: each row as often (0 to 2 times) as the words taken of it make whole copies, rounded.
+
+    All columns stay. Rows that share a doc_id share their count; documents without words are not in a mix."""
+    taken = mix_documents(docs, **options).groupBy(F.col("doc_id").alias("_own_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = settle(taken.where("size > 0").select("_own_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0"), "copies")
+    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies["_own_id"]))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

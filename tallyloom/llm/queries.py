@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, orc_tokens, superminhash
+from . import decontaminate, mixing, orc_tokens, quality, superminhash
 from .common import table
 
 
@@ -16,8 +16,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), width=2).drop("text_hash")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +36,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_superminhash": op4_superminhash, "op6_orc_tokens": op6_orc_tokens, "op8_mixing": op8_mixing}
+    return {f.__name__: f for f in (op3_quality, op4_superminhash, op5_decontaminate, op6_orc_tokens, op8_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    import corpus_pipeline
+
+    out = {}
+    if corpus_pipeline.ORACLE_SQL is not None:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out

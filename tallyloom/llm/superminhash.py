@@ -122,7 +122,7 @@ def chunks(texts: list[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[i
 def _profile(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(width)
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        ids, texts, hashes = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
         for a, b in chunks(texts):
             with np.errstate(over="ignore"):
                 sets = shingler.sets(texts[a:b])
@@ -130,8 +130,8 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: in
             prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), flat],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "bands"],
+                [ids[a:b], hashes[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), flat],
+                names=["doc_id", "text_hash", "n_shingles", "fp1", "fp2", "bands"],
             )
 
 
@@ -201,7 +201,7 @@ def _rounds(members: DataFrame, texts: DataFrame, links: DataFrame, width: int,
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text; other columns are not read).
+    """(doc_id, n_shingles, component_id, kept, text_hash) for each row of docs (doc_id, text; other columns are not read).
 
     Documents are linked if their sets of distinct shingles of width words have 100 * intersection >= percent *
     union; component_id is the smallest doc_id that links reach, kept = it is the document's own.
@@ -211,8 +211,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
       component_id is null and it is kept.
     - An empty table gives an empty result; texts of any length are read whole."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
-    profile = settle(source.mapInArrow(partial(_profile, width=width, bands=bands, rows=rows), schema), "profile")
+    schema = "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, bands array<long>"
+    profile = settle(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_profile, width=width, bands=bands, rows=rows), schema), "profile")
     full = profile.where("n_shingles > 0")
     kinds = full.groupBy("fp1", "fp2").agg(
         F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_docs"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")
@@ -236,4 +236,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     )
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     found = lookup(profile.drop("bands"), named, ["fp1", "fp2"], "n_docs", F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group that near_duplicates finds; all columns stay.
+
+    Of rows that share the kept doc_id (or, without one, the text) the first by text stays."""
+    found = settle(near_duplicates(docs, **options), "groups")
+    key = [F.col("doc_id").alias("_own_id"), F.col("text_hash").alias("_own_hash")]
+    gone = found.where(~F.col("kept")).select(*key).distinct()
+    group = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", "text_hash").alias("own")]
+    kept = found.where("kept").groupBy(*group, "doc_id", "text_hash").count()
+    many = kept.groupBy("none", "own").agg(F.sum("count").alias("n")).where("n > 1")
+    rows = settle(kept.join(many, ["none", "own"]).select(*key).distinct().withColumn("_again", F.lit(True)).unionByName(gone.withColumn("_again", F.lit(False))), "not-as-is")
+    same = docs["doc_id"].cast("long").eqNullSafe(rows["_own_id"]) & (F.xxhash64(docs["text"].cast("string")) == rows["_own_hash"])
+    single = docs.join(rows, same, "left_anti")
+    again = rows.where("_again")
+    if again.isEmpty():
+        return single
+    whole = docs.join(again, same).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce("_own_id", "_own_hash").alias("own"), F.col("_own_id").isNull().alias("none"))
+    first = whole.groupBy("own", "none").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    return single.unionByName(first.select("row.*"))

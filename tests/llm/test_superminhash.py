@@ -54,7 +54,7 @@ def made(seed, n=120):
 def test_same_as_all_pairs(spark, width, seed):
     rows = made(seed)
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
-    got = sorted(tuple(r) for r in S.near_duplicates(docs, width=width).collect())
+    got = sorted(tuple(r) for r in S.near_duplicates(docs, width=width).drop("text_hash").collect())
     assert got == brute(rows, width, 80)
 
 
@@ -70,18 +70,24 @@ def test_one_hot_family_with_weak_ends(spark):
         rows.append((i + 1, " ".join(words)))
     rows.append((0, " ".join(base)))
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
-    got = sorted(tuple(x) for x in S.near_duplicates(docs, width=2).collect())
+    got = sorted(tuple(x) for x in S.near_duplicates(docs, width=2).drop("text_hash").collect())
     assert got == brute(rows, 2, 80)
 
 
 def test_nulls_repeats_empty_and_clashing_columns(spark):
     schema = "doc_id long, text string, bucket string, node string, bands string"
     rows = [(None, "a b c", "", "", ""), (7, "a b c", None, None, None), (7, "a b c", None, None, None), (9, None, "", "", ""), (3, "A B C", "", "", "")]
-    got = sorted((tuple(x) for x in S.near_duplicates(spark.createDataFrame(rows, schema), width=2).collect()), key=str)
+    got = sorted((tuple(x) for x in S.near_duplicates(spark.createDataFrame(rows, schema), width=2).drop("text_hash").collect()), key=str)
     assert got == sorted([(None, 2, 3, False), (7, 2, 3, False), (7, 2, 3, False), (9, 0, 9, True), (3, 2, 3, True)], key=str)
     assert S.near_duplicates(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_keep_one(spark):
+    rows = [(4, "a b c d e f", 1), (2, "A b c d e f", 2), (2, "A b c d e f", 2), (2, "other words than those", 3), (8, None, 4), (None, "q r s", 5), (None, "q r s", 6)]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _d int"))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(2, "A b c d e f"), (8, None), (None, "q r s")], key=str)
+
+
 def test_estimates_follow_jaccard():
     r = np.random.default_rng(1)
     pool = r.integers(0, 2**63, 400, dtype=np.uint64)
