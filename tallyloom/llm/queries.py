@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, orc_tokens, quality, superminhash
+from . import chat, decontaminate, mixing, orc_tokens, quality, superminhash, warc
 from .common import table
 
 
@@ -16,6 +16,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
@@ -43,13 +51,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality, op4_superminhash, op5_decontaminate, op6_orc_tokens, op8_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_warc, op2_chat, op3_quality, op4_superminhash, op5_decontaminate, op6_orc_tokens, op8_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {}
+    out = {"op1_warc": warc.ORACLE, "op2_chat": chat.ORACLE}
     if corpus_pipeline.ORACLE_SQL is not None:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
