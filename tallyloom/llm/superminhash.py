@@ -2,9 +2,9 @@
 
 Plan: every text becomes its set of hashed word shingles in one Arrow pass, which emits the set's size, a 128-bit
 fingerprint and one key per band. Texts with equal sets collapse into a class by a partial aggregate, so groups of exact
-copies of any size cost one class. Classes that share a band key form a bucket; within a bucket pairs go through hubs
-(see _rounds), never all with all, and every pair that counts is confirmed on the whole sets. Shingles are compared by
-64-bit hashes."""
+copies of any size cost one class. Classes that share a band key form a bucket; each is paired with one hub of its bucket, never
+all with all. Where that leaves a bucket in several components, _missed finds the pairs that could still join them. Every
+pair is confirmed on the whole sets. Shingles are compared by 64-bit hashes."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lookup, release, settle
@@ -57,7 +57,7 @@ class Shingler:
         split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
         flat = self.hashes([w for words in split for w in words])
         rolled, n = np.zeros(len(flat), np.uint64), len(flat)
-        for k in range(self.width):
+        for k in range(min(self.width, n)):
             rolled[: n - k] = mix(rolled[: n - k] * _GOLDEN + flat[k:] + np.uint64(k + 1))
         out, at = [], 0
         for words in split:
@@ -168,36 +168,43 @@ def _near(percent: int):
     return F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
 
 
-def _rounds(members: DataFrame, texts: DataFrame, links: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links between members of one bucket that the first hubs have not shown; returns all links and components.
-
-    A bucket is open while two of its members that were no hubs yet are in different components: only between such
-    members a link could still be missing that joins components. Each round gives every open bucket further hubs (4
-    times as many as the round before) and tests them against the members of other components. A hub's links are all
-    known afterwards, so it leaves. Buckets of copies of one text close at once; the rows of a round are members x
-    hubs, and no round sees all pairs of a bucket at once."""
-    open_rows, hubs_wanted = members, 4
-    while True:
-        comp = components(links)
-        now = open_rows.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("component_id", "node").alias("comp"))
-        now = settle(now, "members")
-        ends = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        still = settle(now.join(settle(ends, "open"), "bucket"), "members")
-        release(now)
-        if still.isEmpty():
-            return links, comp
-        order = F.xxhash64("node")
-        slot = F.pmod(F.xxhash64("node", F.lit(hubs_wanted)), F.lit(hubs_wanted))
-        hubs = still.groupBy("bucket", slot.alias("slot")).agg(
-            F.min_by("node", order).alias("hub"), F.min_by("n", order).alias("hub_n"), F.min_by("comp", order).alias("hub_comp")
-        )
-        hubs = settle(hubs.drop("slot"), "hubs")
-        pairs = still.join(hubs, "bucket").where((F.col("comp") != F.col("hub_comp")) & _near(percent))
-        found = confirm(settle(pairs.select("hub", "node").distinct(), "pairs"), texts, width, percent)
-        links = settle(links.unionByName(found), "links")
-        open_rows = settle(still.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").drop("comp"), "members")
-        release(still)
-        hubs_wanted *= 4
+def _tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    shingler = Shingler(width)
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        for a, b in chunks(texts):
+            with np.errstate(over="ignore"):
+                sets = shingler.sets(texts[a:b])
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["node", "comp", "n", "tokens"]
+            )
+
+
+def _missed(members: DataFrame, texts: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (hub, node) of different components that could still be linked, for buckets that hold several components.
+
+    An exact prefix filter over the members of such buckets: shingles are ordered from rare to common; two sets of sizes
+    n and m with an overlap of o = percent / (100 + percent) * (n + m) at least share a shingle among the first n - o + 1 and
+    m - o + 1 of theirs. In a family of many near copies these are the places where a text differs from the family, so the
+    few that are in no component meet those with the same changes, not the whole family."""
+    now = members.join(comp, "node", "left").select("bucket", "node", F.coalesce("component_id", "node").alias("comp"))
+    now = settle(now, "members")
+    ends = settle(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"), "open")
+    still = settle(now.join(ends, "bucket").select("node", "comp").distinct(), "open-members")
+    read = still.join(texts, "node").select("node", "comp", "text").mapInArrow(partial(_tokens, width=width), "node long, comp long, n long, tokens array<long>")
+    each = settle(read.select("node", "comp", "n", F.explode("tokens").alias("token")), "tokens")
+    often = settle(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
+    # A shingle that no other text has stands first and can't match: only its place counts.
+    ranked = each.join(often, "token", "left").withColumn("at", F.row_number().over(Window.partitionBy("node", "n", "comp").orderBy(F.coalesce("df", F.lit(1)), "token")) - 1)
+    front = settle(ranked.where(F.col("df").isNotNull() & (100 * F.col("at") <= (100 - percent) * F.col("n"))).select("token", "node", "comp", "n", "at"), "fronts")
+    other = front.select("token", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"))
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("hub_n")) / F.lit(100.0 + percent) - 1e-9)
+    meet = (F.col("node") > F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & _near(percent) & (F.col("n") - F.col("at") >= need) & (F.col("hub_n") - F.col("hub_at") >= need)
+    pairs = settle(front.join(other, (front["token"] == other["token"]) & meet).select("hub", "node").distinct(), "pairs")
+    release(now, each, often, front)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -227,8 +234,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     wanted = settle(members.select("node").distinct(), "wanted")
     texts = settle(source.withColumnRenamed("doc_id", "node").join(wanted, "node"), "texts")
     links = confirm(pairs, texts, width, percent)
-    rest = members.where((F.col("size") > 2) & (F.col("node") != F.col("hub"))).select("bucket", "node", "n")
-    links, comp = _rounds(rest, texts, links, width, percent)
+    rest = members.where((F.col("size") > 2) & (F.col("node") != F.col("hub"))).select("bucket", "node")
+    comp = components(links)
+    more = confirm(_missed(rest, texts, comp, width, percent), texts, width, percent)
+    if not more.isEmpty():
+        comp = components(links.unionByName(more))
     release(members, texts)
     named = settle(
         kinds.drop("bands", "n").join(comp, "node", "left").select("fp1", "fp2", "n_docs", F.coalesce("component_id", "node").alias("component_id")),
