@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, orc_tokens, quality, superminhash, warc
+from . import chat, decontaminate, gif, mixing, orc_tokens, quality, superminhash, toxicity, warc
 from .common import table
 
 
@@ -40,10 +40,18 @@ def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.tokenize(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -51,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_chat, op3_quality, op4_superminhash, op5_decontaminate, op6_orc_tokens, op8_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_warc, op2_chat, op3_quality, op4_superminhash, op5_decontaminate, op6_orc_tokens, op7_gif, op8_mixing, op9_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
