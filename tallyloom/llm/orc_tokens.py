@@ -17,7 +17,7 @@ from .common import new_path
 from .superminhash import chunks
 
 #: Words whose ids a worker remembers; beyond that it starts anew.
-MEMO = 400_000
+MEMO = 800_000
 END_ID = 1
 #: What the files hold. part and part_start: the file's number, and how many ids stand in it before this document.
 FILE_SCHEMA = "doc_id long, part int, part_start long, ids array<int>"
@@ -37,14 +37,28 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, end_id last."""
-        memo, end = self.memo, np.array([end_id], "<u4").tobytes()
-        split = [(t or b"").split() for t in texts]
-        if len(memo) > MEMO:
-            memo.clear()
-        if new := list({w for words in split for w in words} - memo.keys()):
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([*map(memo.__getitem__, words), end]) for words in split]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        get, end = self.memo.get, np.array([end_id], "<u4").tobytes()
+        # The vocabulary is lower case; special tokens are looked for before that, so texts that may hold one stay as they are.
+        split = [(t if b"<|" in t else t.lower()).split() for t in (t or b"" for t in texts)]
+        coded = [list(map(get, words)) for words in split]
+        if new := {w for words, ids in zip(split, coded, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}:
+            self._learn(new)
+        return [b"".join([*(map(self.memo.__getitem__, words) if None in ids else ids), end]) for words, ids in zip(split, coded, strict=True)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Marks behind a letter or digit are a piece of their own, so that a word is learned once for all marks."""
+        cut = {}
+        for w in words:
+            core = w.rstrip(b".,;:!?")
+            if len(core) < len(w) and core and core.decode("utf-8")[-1].isalnum() and b"<|" not in w:
+                cut[w] = core, w[len(core) :]
+        wanted = list({x for w in words for x in cut.get(w, (w,))} - self.memo.keys())
+        for w, e in zip(wanted, self.tokenizer.encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False), strict=True):
+            self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (core, marks) in cut.items():
+            self.memo[w] = self.memo[core] + self.memo[marks]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
