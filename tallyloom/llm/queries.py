@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, gif, mixing, orc_tokens, quality, superminhash, toxicity, warc
+from . import chat, decontaminate, gif, mincut, mixing, orc_tokens, quality, superminhash, toxicity, warc
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_chat, op3_quality, op4_superminhash, op5_decontaminate, op6_orc_tokens, op7_gif, op8_mixing, op9_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_warc, op2_chat, op3_quality, op4_superminhash, op5_decontaminate, op6_orc_tokens, op7_gif, op8_mixing, op9_toxicity, op10_mincut, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -212,7 +212,8 @@ def stretches(spark: SparkSession, folder: str, size: int = STRETCH_BYTES) -> Da
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record but warcinfo; digests are verified."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return stretches(spark, folder).mapInArrow(_read, schema)
+    runs = settle(stretches(spark, folder), "stretches")
+    return runs.repartition(max(1, runs.count())).mapInArrow(_read, schema)  # by bytes a run is little, by work it is a task
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
