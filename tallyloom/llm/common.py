@@ -19,7 +19,19 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1000
 
 
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_BYTES for this session, unless it has its own limit: whole texts can be long, and the JVM and
+    Python each hold batches outside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +55,7 @@ def settle(df: DataFrame, label: str, fmt: str = "parquet", **options: str) -> D
     """Write df into the shared folder and read it again: cuts the lineage, survives lost executors, and lets
     the planner see the true size (a later join broadcasts it only below spark.sql.autoBroadcastJoinThreshold)."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, label)
     df.write.format(fmt).options(**options).save(path)
     out = spark.read.schema(df.schema).format(fmt).load(path)

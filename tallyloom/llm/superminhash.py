@@ -24,9 +24,9 @@ from .components import components
 #: a probability of 5e-8.
 BANDS, ROWS = 32, 4
 #: A pass over texts handles so many bytes at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: The memo of word hashes is emptied beyond so many words.
-MEMO = 300_000
+MEMO = 100_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
