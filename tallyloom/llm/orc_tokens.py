@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -54,9 +55,21 @@ class WordEncoder:
             core = w.rstrip(b".,;:!?")
             if len(core) < len(w) and core and core.decode("utf-8")[-1].isalnum() and b"<|" not in w:
                 cut[w] = core, w[len(core) :]
-        wanted = list({x for w in words for x in cut.get(w, (w,))} - self.memo.keys())
-        for w, e in zip(wanted, self.tokenizer.encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        wanted = {x for w in words for x in cut.get(w, (w,))} - self.memo.keys()
+        letters = [(w, t) for w in wanted if (t := w.decode()).isalpha()]
+        others = list(wanted.difference(w for w, _ in letters))
+        for at in range(0, len(letters), 64):  # a word of letters is one piece, so that many can be encoded at once
+            part = letters[at : at + 64]
+            e = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
+            n = np.bincount(e.word_ids) if e.ids else []
+            if len(n) != len(part):
+                others += [w for w, _ in part]
+                continue
+            raw, start = array("I", e.ids).tobytes(), 0
+            for (w, _), end in zip(part, (4 * np.cumsum(n)).tolist(), strict=True):
+                self.memo[w], start = raw[start:end], end
+        for w, e in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
+            self.memo[w] = array("I", e.ids).tobytes()
         for w, (core, marks) in cut.items():
             self.memo[w] = self.memo[core] + self.memo[marks]
 
