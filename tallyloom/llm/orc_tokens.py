@@ -20,6 +20,7 @@ from .superminhash import chunks
 #: Words whose ids a worker remembers; beyond that it starts anew.
 MEMO = 800_000
 END_ID = 1
+_MARKS, _PLAIN = b".,;:!?", frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 #: What the files hold. part and part_start: the file's number, and how many ids stand in it before this document.
 FILE_SCHEMA = "doc_id long, part int, part_start long, ids array<int>"
 
@@ -50,28 +51,32 @@ class WordEncoder:
 
     def _learn(self, words: set[bytes]) -> None:
         """Marks behind a letter or digit are a piece of their own, so that a word is learned once for all marks."""
-        cut = {}
+        memo, whole, cut = self.memo, set(), []
         for w in words:
-            core = w.rstrip(b".,;:!?")
-            if len(core) < len(w) and core and core.decode("utf-8")[-1].isalnum() and b"<|" not in w:
-                cut[w] = core, w[len(core) :]
-        wanted = {x for w in words for x in cut.get(w, (w,))} - self.memo.keys()
-        letters = [(w, t) for w in wanted if (t := w.decode()).isalpha()]
-        others = list(wanted.difference(w for w, _ in letters))
-        for at in range(0, len(letters), 64):  # a word of letters is one piece, so that many can be encoded at once
-            part = letters[at : at + 64]
-            e = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
+            core = w.rstrip(_MARKS)
+            if len(core) < len(w) and core and (core[-1] in _PLAIN or core[-1] > 127 and core.decode("utf-8")[-1].isalnum()) and b"<|" not in w:
+                cut.append((w, core))
+                whole.add(core)
+                whole.add(w[len(core) :])
+            else:
+                whole.add(w)
+        whole -= memo.keys()
+        letters = [w for w in whole if w.isalpha() or (not w.isascii() and w.decode().isalpha())]
+        others = list(whole.difference(letters))
+        for at in range(0, len(letters), 128):  # a word of letters is one piece, so that many can be encoded at once
+            part = letters[at : at + 128]
+            e = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
             n = np.bincount(e.word_ids) if e.ids else []
             if len(n) != len(part):
-                others += [w for w, _ in part]
+                others += part
                 continue
             raw, start = array("I", e.ids).tobytes(), 0
-            for (w, _), end in zip(part, (4 * np.cumsum(n)).tolist(), strict=True):
-                self.memo[w], start = raw[start:end], end
+            for w, end in zip(part, (4 * np.cumsum(n)).tolist(), strict=True):
+                memo[w], start = raw[start:end], end
         for w, e in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
-            self.memo[w] = array("I", e.ids).tobytes()
-        for w, (core, marks) in cut.items():
-            self.memo[w] = self.memo[core] + self.memo[marks]
+            memo[w] = array("I", e.ids).tobytes()
+        for w, core in cut:
+            memo[w] = memo[core] + memo[w[len(core) :]]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
