@@ -1,4 +1,4 @@
-"""An event's metrics in one pass: a first aggregate per key and group, a second over groups.
+"""An event's metrics in one pass: a first aggregate per key and group (if any metric asks for it), a second over groups.
 
 Whatever can be added up per group (counts, sums, extremes, averages as sum and count) shares these two hash aggregates,
 which combine map-side. Only exact percentiles and distinct counts of a property need an aggregate of their own."""
@@ -101,7 +101,9 @@ def aggregate(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], gro
                 later[name] = m
     out = None
     if outer or later:
-        out = base.groupBy(*by, group).agg(*[c.alias(n) for n, c in inner.items()]).groupBy(*by).agg(*[c.alias(n) for n, c in outer.items()] or [F.sum("_n").alias("_n")])
+        per_group = any(isinstance(m, CountUniqueGroups | CountPerGroup | AggregatePropertyPerGroup) for m in metrics)
+        # Without a per-group metric the first aggregate is by key alone, and the second needs no further exchange.
+        out = base.groupBy(*by, *([group] if per_group else [])).agg(*[c.alias(n) for n, c in inner.items()]).groupBy(*by).agg(*[c.alias(n) for n, c in outer.items()] or [F.sum("_n").alias("_n")])
     sides = [base.groupBy(*by).agg(*[c.alias(n) for n, c in own.items()])] if own else []
     sides += [active_groups(df, keys, group, m.days, unit).withColumnRenamed("metric", n) for n, m in trailing.items()]
     for side in sides:  # a row per bucket and key: the joined tables are results

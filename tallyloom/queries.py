@@ -303,11 +303,11 @@ UNION ALL SELECT 'Order F', 'all', bucket, nation, 'Count Unique Groups', count(
 add("profile_as_of", lambda s, d: plain(as_of(clickstream(s, d).select("group_0", "created_at", "event_id"), customer_versions(s, d)).groupBy("profile_segment_name").agg(F.count(F.lit(1)).alias("n"), F.sum("profile_version").alias("versions")), 2),
     f"""SELECT v.segment_name AS profile_segment_name, count(*) AS n, sum(v.version)::BIGINT AS versions FROM {EVENTS} e LEFT JOIN {_latest} v ON v.id = e.group_0 AND v.created_at <= e.created_at GROUP BY ALL""")
 GAP = timedelta(hours=12)
-_gaps = f"""(SELECT *, sum(new) OVER (PARTITION BY group_0 ORDER BY created_at, event_id)::BIGINT AS session FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY group_0 ORDER BY created_at, event_id) >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM {EVENTS}))"""
+_gaps = f"""(SELECT *, sum(new) OVER (PARTITION BY group_0 ORDER BY created_at, event_id)::BIGINT AS session FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY group_0 ORDER BY created_at, event_id) > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM {EVENTS}))"""
 _sessions = f"(SELECT group_0, min(created_at) AS session_begin, max(created_at) AS session_end, count(*) AS n_events FROM {_gaps} GROUP BY group_0, session)"
 add("sessions", lambda s, d: sessions.sessions(clickstream(s, d), GAP), f"SELECT *, (epoch_us(session_end) - epoch_us(session_begin)) // 1000 AS length_ms FROM {_sessions}")
 add("session_events", lambda s, d: sessions.with_session_events(clickstream(s, d), GAP, datetime(2024, 1, 30)), f"""SELECT group_0, session_begin AS created_at, 'Session Begin' AS event, NULL::BIGINT AS length_ms FROM {_sessions}
-UNION ALL SELECT group_0, session_end, 'Session End', (epoch_us(session_end) - epoch_us(session_begin)) // 1000 FROM {_sessions} WHERE session_end + INTERVAL 12 HOUR <= TIMESTAMP '2024-01-30'""")
+UNION ALL SELECT group_0, session_end, 'Session End', (epoch_us(session_end) - epoch_us(session_begin)) // 1000 FROM {_sessions} WHERE session_end + INTERVAL 12 HOUR < TIMESTAMP '2024-01-30'""")
 add("session_ids", lambda s, d: sessions.session_ids(clickstream(s, d), GAP).select("event_id", "session"), f"SELECT event_id, session FROM {_gaps}")
 
 

@@ -13,7 +13,7 @@ BEGIN, END = "Session Begin", "Session End"
 
 
 def sessions(events: DataFrame, gap: timedelta, group: str = "group_0") -> DataFrame:
-    """(group, session_begin, session_end, n_events, length_ms); a gap of exactly the limit begins a new session."""
+    """(group, session_begin, session_end, n_events, length_ms); a gap of exactly the limit stays within the session."""
     w = F.session_window(F.col("created_at").cast("timestamp"), f"{int(gap.total_seconds())} seconds")
     s = events.where(F.col(group).isNotNull()).groupBy(group, w.alias("w")).agg(
         F.min("created_at").alias("session_begin"), F.max("created_at").alias("session_end"), F.count(F.lit(1)).alias("n_events")
@@ -23,18 +23,18 @@ def sessions(events: DataFrame, gap: timedelta, group: str = "group_0") -> DataF
 
 
 def with_session_events(events: DataFrame, gap: timedelta, now: datetime, group: str = "group_0") -> DataFrame:
-    """(group, created_at, event, length_ms): a begin for each session, and an end for those idle for gap at now."""
+    """(group, created_at, event, length_ms): a begin for each session, and an end for those idle for more than gap at now."""
     s = sessions(events, gap, group)
     begun = s.select(group, F.col("session_begin").alias("created_at"), F.lit(BEGIN).alias("event"), F.lit(None).cast("long").alias("length_ms"))
-    idle = s.where(F.col("session_end") + F.make_dt_interval(secs=F.lit(gap.total_seconds())) <= F.lit(now).cast("timestamp_ntz"))
+    idle = s.where(F.col("session_end") + F.make_dt_interval(secs=F.lit(gap.total_seconds())) < F.lit(now).cast("timestamp_ntz"))
     return begun.unionByName(idle.select(group, F.col("session_end").alias("created_at"), F.lit(END).alias("event"), "length_ms"))
 
 
 def session_ids(events: DataFrame, gap: timedelta, group: str = "group_0") -> DataFrame:
     """Adds session, counted from 0 for each group."""
     order = Window.partitionBy(group).orderBy("created_at", "event_id")
-    ms = F.unix_millis(F.col("created_at").cast("timestamp"))
-    new = F.coalesce((ms - F.lag(ms).over(order) >= int(gap.total_seconds() * 1000)).cast("int"), F.lit(0))
+    micros = F.unix_micros(F.col("created_at").cast("timestamp"))
+    new = F.coalesce((micros - F.lag(micros).over(order) > int(gap.total_seconds() * 1_000_000)).cast("int"), F.lit(0))
     return events.withColumn("_new", new).withColumn("session", F.sum("_new").over(order)).drop("_new")
 
 
@@ -52,7 +52,7 @@ def stream_sessions(events: DataFrame, gap: timedelta, late: timedelta = timedel
         else:
             first, last = state.get if state.exists else (None, None)
             for t in sorted(t for pdf in batches for t in pdf["at_ms"]):
-                if last is not None and t - last >= ms:
+                if last is not None and t - last > ms:
                     rows.append((key[0], last, END, last - first))
                     first = None
                 if first is None:
@@ -60,7 +60,7 @@ def stream_sessions(events: DataFrame, gap: timedelta, late: timedelta = timedel
                     rows.append((key[0], t, BEGIN, None))
                 last = max(last, t)
             state.update((first, last))
-            state.setTimeoutTimestamp(max(last + ms, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(last + ms + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[group, "at_ms", "event", "length_ms"]).astype({"length_ms": "Int64"})
 
     at = events.select(group, F.col("created_at").cast("timestamp").alias("at"))
