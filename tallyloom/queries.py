@@ -143,13 +143,13 @@ def chart_sql(limit: int | None) -> str:
     long = " UNION ALL ".join([rows_sql("Count Events", "count(event)", unit="week", keys="k"), rows_sql("Max value", "max(value)", unit="week", keys="k")])
     mean = f"""SELECT *, ({total})::DECIMAL(28, 4) / 4 AS "Average" FROM (SELECT event, segment, k, agg_name, {weeks} FROM ({long}) GROUP BY ALL)"""
     kept = f"""SELECT *, row_number() OVER (PARTITION BY k ORDER BY "Average" DESC NULLS LAST, agg_name) AS r FROM ({mean})"""
-    columns = ", ".join(f'round("{w}", 2) AS "{w}"' for w in WEEKS)
-    return f"""SELECT event AS "Event", segment AS "Segment", k::BIGINT AS k, agg_name AS "Formula", round("Average", 2) AS "Average", {columns} FROM ({kept}) WHERE r <= {limit or 10**9}"""
+    columns = ", ".join(f'round("{w}", 4) AS "{w}"' for w in WEEKS)
+    return f"""SELECT event AS "Event", segment AS "Segment", k::BIGINT AS k, agg_name AS "Formula", round("Average"::DOUBLE, 4) AS "Average", {columns} FROM ({kept}) WHERE r <= {limit or 10**9}"""
 
 
 def _chart(limit: int) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        return plain(segmentation.chart(CHART, clickstream(s, d), CATALOG, limit=limit), 2)
+        return plain(segmentation.chart(CHART, clickstream(s, d), CATALOG, limit=limit))
 
     return run
 
