@@ -41,13 +41,18 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text, end_id last."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        get, end = self.memo.get, np.array([end_id], "<u4").tobytes()
+        memo, end = self.memo, np.array([end_id], "<u4").tobytes()
         # The vocabulary is lower case; special tokens are looked for before that, so texts that may hold one stay as they are.
         split = [(t if b"<|" in t else t.lower()).split() for t in (t or b"" for t in texts)]
-        coded = [list(map(get, words)) for words in split]
-        if new := {w for words, ids in zip(split, coded, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}:
+        coded = [list(map(memo.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in coded]
+        if new := {words[i] for words, gap in zip(split, gaps, strict=True) for i in gap}:
             self._learn(new)
-        return [b"".join([*(map(self.memo.__getitem__, words) if None in ids else ids), end]) for words, ids in zip(split, coded, strict=True)]
+        for words, ids, gap in zip(split, coded, gaps, strict=True):
+            for i in gap:
+                ids[i] = memo[words[i]]
+            ids.append(end)
+        return [b"".join(ids) for ids in coded]
 
     def _learn(self, words: set[bytes]) -> None:
         """Marks behind a letter or digit are a piece of their own, so that a word is learned once for all marks."""
