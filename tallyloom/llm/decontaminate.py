@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .superminhash import MEMO, chunks, mix
+from .superminhash import chunks, mix
 
 WINDOW, COVERAGE = 5, 0.8
 #: Up to so many distinct windows of the benchmark (8 bytes each) go to the executors as a filter; beyond, all windows
@@ -38,6 +38,10 @@ _GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([^\W\d_]+)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 WORD, NUMBER, UNIT, NOTHING = range(4)
 _BREAK = "\x01"
+#: A word's kind, whether it looks like a name, whether it ends a sentence, its hash.
+_SYMBOL = [("k", "i1"), ("n", "?"), ("e", "?"), ("h", "u8")]
+#: Words that a worker remembers.
+MEMO = 300_000
 
 
 class Templates:
@@ -45,35 +49,53 @@ class Templates:
 
     def __init__(self):
         self.memo: dict[str, int] = {}
+        self.glued: set[str] = set()  # words that are a number and a unit
         self.rows: list[tuple[int, bool, bool, int]] = []
+        self.table = np.zeros(0, _SYMBOL)  # rows so far, as an array
 
     def _look(self, raw: str) -> int:
-        core = _EDGE.sub("", raw)
+        core = raw if raw.isalpha() else raw.rstrip(".,;:!?")
+        plain = core.isalpha()  # most words: nothing else to strip, and no digits
+        if not plain:
+            core = _EDGE.sub("", raw)
         ends = raw == _BREAK or raw[-1:] in ".!?:" or raw[-2:-1] in (".", "!", "?")
         low = core.lower()
         if not core:
             kind = NOTHING
-        elif low in NUMBER_WORDS or _NUMBER.fullmatch(core):
+        elif low in NUMBER_WORDS or not plain and _NUMBER.fullmatch(core):
             kind = NUMBER
         else:
             kind = UNIT if low in UNITS else WORD
         named = len(core) > 1 and core[0].isupper() and core[1:].islower()
+        if raw in self.memo:
+            return self.memo[raw]
         self.rows.append((kind, named, ends, xxhash.xxh3_64_intdigest(low)))
         self.memo[raw] = len(self.rows) - 1
         return self.memo[raw]
 
-    def symbols(self, texts: list[str | None]) -> list[tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]]:
+    def symbols(self, texts: list[str | None]) -> list[tuple[list[tuple[np.ndarray, np.ndarray]], list[str], np.ndarray]]:
         """For each text: symbol hashes and whether each is a slot, first with names as slots, then with names as words, as
-        capitals are no sure sign of them; and the words. Words of punctuation alone are left out."""
+        capitals are no sure sign of them; the words, and where in them each symbol's is. Words of punctuation alone have none."""
         if len(self.rows) > MEMO:
             self.memo.clear()
+            self.glued.clear()
             self.rows.clear()
-        split = [[p for w in (t or "").replace("\n", f" {_BREAK} ").split() for p in self._parts(w)] for t in texts]
+            self.table = self.table[:0]
+        split = [(t or "").replace("\n", f" {_BREAK} ").split() for t in texts]
+        for w in {w for words in split for w in words} - self.memo.keys():
+            if w[0].isdigit() and len(parts := self._parts(w)) > 1:
+                self.glued.add(w)
+                for x in parts:
+                    self._look(x)
+            else:
+                self._look(w)
+        if self.glued:
+            split = [words if self.glued.isdisjoint(words) else [p for w in words for p in self._parts(w)] for words in split]
         flat = [w for words in split for w in words]
-        for w in {*flat} - self.memo.keys():
-            self._look(w)
         code = np.fromiter((self.memo[w] for w in flat), np.int64, len(flat))
-        table = np.array(self.rows, dtype=[("k", "i1"), ("n", "?"), ("e", "?"), ("h", "u8")]) if self.rows else np.zeros(0, [("k", "i1"), ("n", "?"), ("e", "?"), ("h", "u8")])
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], _SYMBOL)])
+        table = self.table
         kind, named, ends, h = (table[c][code] for c in "kneh")
         first = np.zeros(len(flat) + 1, bool)
         first[np.cumsum([0, *map(len, split)])] = True
@@ -85,7 +107,7 @@ class Templates:
         for words in split:
             part = slice(at, at + len(words))
             real = kind[part] != NOTHING
-            out.append(([(x[part][real], y[part][real]) for x, y in forms], [w for w, ok in zip(words, real.tolist(), strict=True) if ok] if not real.all() else words))
+            out.append(([(x[part][real], y[part][real]) for x, y in forms], words, np.flatnonzero(real)))
             at += len(words)
         return out
 
@@ -121,7 +143,7 @@ def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], wanted: np.ndarr
         for a, b in chunks(texts):
             rows: tuple[list, ...] = ([], [], [], [], [])
             with np.errstate(over="ignore"):
-                for i, (forms, words) in zip(range(a, b), templates.symbols(texts[a:b]), strict=True):
+                for i, (forms, words, real) in zip(range(a, b), templates.symbols(texts[a:b]), strict=True):
                     for width, (h, slot) in product(widths, forms):
                         rolled, good = windows(h, slot, width)
                         if slot is not forms[0][1]:  # what has no names is there already
@@ -131,7 +153,7 @@ def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], wanted: np.ndarr
                             at = np.searchsorted(wanted, rolled)
                             good &= wanted[np.minimum(at, len(wanted) - 1)] == rolled
                         for p in np.flatnonzero(good).tolist():
-                            values = [_strip(words[q]) for q in range(p, p + width) if slot[q]]
+                            values = [_strip(words[real[q]]) for q in range(p, p + width) if slot[q]]
                             for column, v in zip(rows, (ids[i], hashes[i], int(rolled[p].view(np.int64)), p, values), strict=True):
                                 column.append(v)
             yield pa.RecordBatch.from_arrays(
@@ -150,7 +172,7 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
 def _length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     templates = Templates()
     for batch in batches:
-        n = [len(forms[0][0]) for forms, _ in templates.symbols(batch.column(2).to_pylist())]
+        n = [len(forms[0][0]) for forms, _, _ in templates.symbols(batch.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["id", "text_hash", "n"])
 
 

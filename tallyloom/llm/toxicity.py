@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_text, settle
-from .superminhash import MEMO, chunks
+from .superminhash import chunks
 
 #: At most so many labelled documents, the first by a hash of doc_id, are used for training.
 MAX_TRAIN = 12_000
@@ -24,6 +24,8 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 #: Pieces of a word besides itself: its first so many letters.
 STEMS = (3, 4, 5, 6, 7)
 THRESHOLD = 0.3
+#: Words that a worker remembers.
+MEMO = 200_000
 _NO_PIECE = BUCKETS
 _EDGE = b".,;:!?\"'()[]{}#$%&*|-_~<>/\\+=@^`"
 
