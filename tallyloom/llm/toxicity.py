@@ -40,6 +40,7 @@ class Hasher:
 
     def reset(self) -> None:
         self.memo, self.rows = {}, [(_NO_PIECE,) * (1 + len(STEMS))]
+        self.table = np.zeros((0, 1 + len(STEMS)), np.int32)  # rows so far, as an array
 
     def _number(self, word: bytes) -> int:
         core = word.strip(_EDGE).decode("utf-8", "replace").lower()
@@ -57,7 +58,9 @@ class Hasher:
         return [np.fromiter((memo[w] for w in words), np.int32, len(words)) if words else np.zeros(1, np.int32) for words in split]
 
     def pieces(self) -> np.ndarray:
-        return np.array(self.rows, np.int32)
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.int32)])
+        return self.table
 
 
 @dataclass
