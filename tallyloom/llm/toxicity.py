@@ -24,8 +24,9 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 #: Pieces of a word besides itself: its first so many letters.
 STEMS = (3, 4, 5, 6, 7)
 THRESHOLD = 0.3
+_hash = xxhash.xxh3_64_intdigest
 #: Words that a worker remembers.
-MEMO = 200_000
+MEMO = 400_000
 _NO_PIECE = BUCKETS
 _EDGE = b".,;:!?\"'()[]{}#$%&*|-_~<>/\\+=@^`"
 
@@ -39,16 +40,16 @@ class Hasher:
         self.reset()
 
     def reset(self) -> None:
-        self.memo, self.rows = {}, [(_NO_PIECE,) * (1 + len(STEMS))]
-        self.table = np.zeros((0, 1 + len(STEMS)), np.int32)  # rows so far, as an array
+        self.memo, self.rows = {}, []  # rows: of new words, not yet in table
+        self.table = np.full((1, 1 + len(STEMS)), _NO_PIECE, np.int32)
 
     def _number(self, word: bytes) -> int:
         core = word.strip(_EDGE).decode("utf-8", "replace").lower()
         if not core:
             return 0
-        parts = [core, *(core[:k] if len(core) > k else "" for k in STEMS)]
-        self.rows.append(tuple(xxhash.xxh3_64_intdigest(x, seed=i) % BUCKETS if x else _NO_PIECE for i, x in enumerate(parts)))
-        return len(self.rows) - 1
+        stems = [_hash(core[:k], k) % BUCKETS for k in STEMS if k < len(core)]
+        self.rows.append((_hash(core, 0) % BUCKETS, *stems, *[_NO_PIECE] * (len(STEMS) - len(stems))))
+        return len(self.table) + len(self.rows) - 1
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
         memo = self.memo
@@ -58,8 +59,9 @@ class Hasher:
         return [np.fromiter((memo[w] for w in words), np.int32, len(words)) if words else np.zeros(1, np.int32) for words in split]
 
     def pieces(self) -> np.ndarray:
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.int32)])
+        if self.rows:
+            self.table = np.concatenate([self.table, np.array(self.rows, np.int32)])
+            self.rows = []
         return self.table
 
 
@@ -76,25 +78,29 @@ class Model:
 
 def pooled(ids: list[np.ndarray], pieces: np.ndarray, model: Model, where: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
     """Maxima over each text's windows [text, filter], their places (if asked for), the padded word numbers, and the
-    embedding of each distinct word's number."""
+    embedding of each."""
     gap = np.zeros(len(WIDTHS) - 1, np.int32)
     flat = np.concatenate([x for t in ids for x in (t, gap)])
     starts = np.cumsum([0, *(len(t) + len(gap) for t in ids[:-1])])
     ends = starts + [len(t) for t in ids]
     kinds, place = np.unique(flat, return_inverse=True)
-    words = model.embedding[pieces[kinds]].sum(1)
-    n, tops, places = len(flat), [], []
-    for f in model.filters:
-        a = (words @ f[0])[place]
-        for o in range(1, len(f)):
-            a[: n - o] += (words @ f[o])[place[o:]]
-        if where:
-            at = np.stack([s + a[s:e].argmax(0) for s, e in zip(starts, ends, strict=True)])
-            places.append(at)
-            tops.append(np.take_along_axis(a, at, 0))
-        else:
-            tops.append(np.maximum.reduceat(a, np.stack([starts, ends], 1).ravel(), 0)[::2])
-    return np.concatenate(tops, 1), np.concatenate(places, 1) if where else None, flat, words[place]
+    words = model.embedding[pieces[kinds]].sum(1)[place]
+    # All filters' products in one; a window's value is then a sum of its words' columns.
+    each = words @ np.concatenate([f[o] for f in model.filters for o in range(len(f))], 1)
+    n, at, sums = len(flat), 0, np.empty((len(flat), len(WIDTHS) * FILTERS), each.dtype)
+    for j, f in enumerate(model.filters):
+        a = sums[:, j * FILTERS : (j + 1) * FILTERS]
+        for o in range(len(f)):
+            part = each[o:, at : at + FILTERS]
+            at += FILTERS
+            if o:
+                a[: n - o] += part
+            else:
+                a[:] = part
+    if where:
+        places = np.stack([s + sums[s:e].argmax(0) for s, e in zip(starts, ends, strict=True)])
+        return np.take_along_axis(sums, places, 0), places, flat, words
+    return np.maximum.reduceat(sums, np.stack([starts, ends], 1).ravel(), 0)[::2], None, flat, words
 
 
 def logits(ids: list[np.ndarray], pieces: np.ndarray, model: Model) -> np.ndarray:
@@ -208,8 +214,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     hasher = Hasher()
     for batch in batches:
         texts = batch.column(0).cast(pa.binary()).to_pylist()
-        for a, b in chunks(texts, 2 << 20):
-            if len(hasher.rows) > MEMO:
+        for a, b in chunks(texts):
+            if len(hasher.memo) > MEMO:
                 hasher.reset()
             ids = hasher.ids(texts[a:b])
             z = logits(ids, hasher.pieces(), model)
