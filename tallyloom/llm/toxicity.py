@@ -5,6 +5,7 @@ learned of it."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -19,7 +20,7 @@ from .common import crc32_text, settle
 from .superminhash import chunks
 
 #: At most so many labelled documents, the first by a hash of doc_id, are used for training.
-MAX_TRAIN = 12_000
+MAX_TRAIN = 10_000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 #: Pieces of a word besides itself: its first so many letters.
 STEMS = (3, 4, 5, 6, 7)
@@ -223,6 +224,19 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[1:]), score], names=["doc_id", "lang", "score"])
 
 
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task trains, as the sample is bounded; the driver gets the model only. Rows are taken in the order of doc_id."""
+    hasher, rows = Hasher(), []
+    for batch in batches:
+        ids = hasher.ids(batch.column(0).cast(pa.binary()).to_pylist())
+        rows += zip(batch.column(3).to_pylist(), (t.tobytes() for t in ids), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+    hasher.memo.clear()
+    if rows:
+        rows.sort(key=lambda r: (r[0], len(r[1]), r[2]))
+        model = train([np.frombuffer(r[1], np.int32) for r in rows], np.array([r[2] for r in rows]), [r[3] for r in rows], hasher.pieces())
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+
 def held_out_rows():
     return F.coalesce(F.pmod(crc32_text("doc_id"), F.lit(4)) == 2, F.lit(False))
 
@@ -232,10 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("y")).where("doc_id is not null and y is not null")
     chosen = settle(known.where(~held_out_rows()).orderBy(F.xxhash64("doc_id"), "y").limit(max_train), "sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "y", "lang", "doc_id").toPandas().sort_values(["doc_id", "text", "y"])
-    hasher = Hasher()
-    ids = hasher.ids([t.encode() if isinstance(t, str) else None for t in rows["text"]])
-    return train(ids, rows["y"].to_numpy(float), [x if isinstance(x, str) else None for x in rows["lang"]], hasher.pieces())
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "y", "lang", "doc_id").repartition(1).mapInArrow(_train, "model binary")
+    found = rows.first()
+    return pickle.loads(found[0]) if found else train([], np.zeros(0), [], Hasher().pieces())
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
