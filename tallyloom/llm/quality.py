@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
 from operator import eq
 
 import numpy as np

@@ -3,7 +3,7 @@ from collections import Counter
 
 import corpus_pipeline as C
 
-from tallyloom.llm import decontaminate, mixing, orc_tokens, quality, superminhash  # noqa: F401
+from tallyloom.llm import mixing, quality
 from tallyloom.llm.common import settle, table
 
 
