@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .model import MAX_GROUPS, VALUELESS, Condition, CustomEvent, Filter, FilterGroup, Segmentation
+from .model import MAX_GROUPS, VALUELESS, Condition, CustomEvent, FilterGroup, Segmentation
 
 DECIMAL = T.DecimalType(28, 16)
 TYPES = {
