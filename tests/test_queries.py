@@ -37,6 +37,11 @@ def test_same_rows_as_sql(spark, db, name):
     assert norm(tuple(r) for r in df.select(*[f"`{n}`" for n in names]).collect()) == norm(cursor.fetchall())
 
 
+def test_profiles_of_all_customers_are_merged(spark):
+    ids = {str(r["c_custkey"]) for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
+    assert {r["id"] for r in Q.QUERIES["identify_merge_all"](spark, SF).collect()} == ids and any(int(i) % 10 for i in ids)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
