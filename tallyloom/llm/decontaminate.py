@@ -36,6 +36,8 @@ NUMBER_WORDS = frozenset(
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?", re.ASCII)
 _GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([^\W\d_]+)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: What may stand around a word that is taken as it is.
+_BEFORE, _AFTER = "\"'“”‘’«»([{", "\"'“”‘’«»)]}.,;:!?"
 WORD, NUMBER, UNIT, NOTHING = range(4)
 _BREAK = "\x01"
 #: A word's kind, whether it looks like a name, whether it ends a sentence, its hash.
@@ -118,25 +120,42 @@ class Templates:
         return (word,)
 
 
+def _roll(h: np.ndarray, width: int, seed: int) -> np.ndarray:
+    n = max(0, len(h) - width + 1)
+    rolled = np.full(n, seed, np.uint64)
+    for k in range(width):
+        rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + h[k : n + k])
+    return rolled
+
+
 def windows(h: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window and whether at least half of it, and two words, are words."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    rolled = np.full(n, width, np.uint64)
-    for k in range(width):
-        rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + h[k : n + k])
+    rolled = _roll(h, width, width)
     total = np.concatenate([[0], np.cumsum(slot)])
     plain = width - (total[width:] - total[:n])
     return rolled, plain >= max(min(2, width), (width + 1) // 2)
 
 
+def literal(words: list[str]) -> np.ndarray:
+    """Hashes of the words as they stand, with numbers and operators; line breaks, outer quotes, brackets and stops are left out."""
+    bare = [b.lower() for w in words if w != _BREAK and (b := w.lstrip(_BEFORE).rstrip(_AFTER))]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, bare), np.uint64, len(bare))
+
+
 def _strip(w: str) -> str:
     return _EDGE.sub("", w).lower()
 
 
-def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """A row for each window (of those wanted, if given): id, text_hash, hash, pos, slots."""
+def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], exact: list[int], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """A row for each window (of those wanted, if given): id, text_hash, hash, pos, slots. exact: widths of windows of the words
+    as they stand, which have no slots."""
+
+    def among(rolled: np.ndarray) -> np.ndarray:
+        return wanted[np.minimum(np.searchsorted(wanted, rolled), len(wanted) - 1)] == rolled
+
     templates = Templates()
     for batch in batches:
         ids, hashes, texts = (c.to_pylist() for c in batch.columns)
@@ -150,12 +169,16 @@ def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], wanted: np.ndarr
                             named = np.concatenate([[0], np.cumsum(forms[0][1] != slot)])
                             good &= named[width:] > named[:-width] if len(rolled) else good
                         if wanted is not None and len(rolled):
-                            at = np.searchsorted(wanted, rolled)
-                            good &= wanted[np.minimum(at, len(wanted) - 1)] == rolled
+                            good &= among(rolled)
                         for p in np.flatnonzero(good).tolist():
                             values = [_strip(words[real[q]]) for q in range(p, p + width) if slot[q]]
                             for column, v in zip(rows, (ids[i], hashes[i], int(rolled[p].view(np.int64)), p, values), strict=True):
                                 column.append(v)
+                    for width in exact:
+                        rolled = _roll(literal(words), width, width + (1 << 32))
+                        for p in range(len(rolled)) if wanted is None else np.flatnonzero(among(rolled)).tolist():
+                            for column, v in zip(rows, (ids[i], hashes[i], int(rolled[p].view(np.int64)), p, []), strict=True):
+                                column.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["id", "text_hash", "hash", "pos", "slots"]
             )
@@ -172,8 +195,11 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
 def _length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     templates = Templates()
     for batch in batches:
-        n = [len(forms[0][0]) for forms, _, _ in templates.symbols(batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["id", "text_hash", "n"])
+        found = templates.symbols(batch.column(2).to_pylist())
+        n = [len(forms[0][0]) for forms, _, _ in found]
+        plain = [int((~forms[1][1]).sum()) for forms, _, _ in found]
+        words = [len(literal(words)) for _, words, _ in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, plain, words))], names=["id", "text_hash", "n", "plain", "words"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, max_filter: int = MAX_FILTER) -> DataFrame:
@@ -182,20 +208,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     docs: doc_id, text; benchmark: item_id, text; other columns are not read. An item leaks into a document if at least
     coverage of its windows of `window` template symbols occur there, counting only alignments in which equal slot values of
     the item have equal values in the document. reworded: some slot's value differs. Windows with too few plain words are not
-    counted; items shorter than a window are one window. Null or empty texts hold nothing and are no items; copies of a row
+    counted; an item that has no others is looked for by windows of its words as they stand, with numbers and operators, so that
+    its copies are found (but not if it is shorter than a window and has no plain word: such a run of numbers is no item).
+    Items shorter than a window are one window. Null or empty texts hold nothing and are no items; copies of a row
     are reported once; a null doc_id is reported as null. Empty tables: empty result."""
     items = settle(_texts(benchmark, "item_id"), "items")
-    lengths = settle(items.mapInArrow(_length, "id long, text_hash long, n long").where("n > 0"), "lengths")
-    widths = sorted(r["w"] for r in lengths.select(F.least(F.col("n"), F.lit(window)).alias("w")).distinct().collect())
+    lengths = settle(items.mapInArrow(_length, "id long, text_hash long, n long, plain long, words long"), "lengths")
     schema = "doc_id long, item_id long, matched long, n_windows long, reworded boolean, text_hash long"
-    if not widths:
-        return docs.sparkSession.createDataFrame([], schema)
-    wide = items.join(lengths.withColumn("w", F.least(F.col("n"), F.lit(window))), [items["id"].eqNullSafe(lengths["id"]), items["text_hash"] == lengths["text_hash"]])
-    parts = None
-    for w in widths:  # at most `window` of them
-        own = wide.where(F.col("w") == w).select(items["id"], items["text_hash"], items["text"]).mapInArrow(partial(_scan, widths=[w], wanted=None), _ROWS)
-        parts = own if parts is None else parts.unionByName(own)
-    known = settle(parts.distinct(), "templates")
+
+    def widths_of(some: DataFrame, n: str) -> tuple[DataFrame, list[int]]:  # at most `window` of them
+        some = some.where(F.col(n) > 0).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.least(F.col(n), F.lit(window)).alias("w")).distinct()
+        return items.join(some, items["id"].eqNullSafe(some["_id"]) & (items["text_hash"] == some["_hash"])), sorted(r["w"] for r in some.select("w").distinct().collect())
+
+    def scanned(wide: DataFrame, w: int, **how) -> DataFrame:
+        return wide.where(F.col("w") == w).select("id", "text_hash", "text").mapInArrow(partial(_scan, wanted=None, **how), _ROWS)
+
+    known = docs.sparkSession.createDataFrame([], _ROWS)
+    wide, widths = widths_of(lengths, "n")
+    for w in widths:
+        known = known.unionByName(scanned(wide, w, widths=[w], exact=[]))
+    known = settle(known.distinct(), "templates")
+    has = known.select(F.col("id").alias("_known"), F.col("text_hash").alias("_known_hash")).distinct()
+    rest = lengths.where((F.col("plain") > 0) | (F.col("words") >= window)).join(has, lengths["id"].eqNullSafe(has["_known"]) & (lengths["text_hash"] == has["_known_hash"]), "left_anti")
+    wide, exact = widths_of(rest, "words")
+    if exact:
+        for w in exact:
+            known = known.unionByName(scanned(wide, w, widths=[], exact=[w]).distinct())
+        known = settle(known, "templates")
     sizes = known.groupBy("id", "text_hash").agg(F.countDistinct("pos").alias("n_windows"))
     known = settle(known.join(sizes, ["id", "text_hash"]).select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "hash", F.col("pos").alias("at"), F.col("slots").alias("item_slots"), "n_windows"), "templates")
     wanted = None
@@ -203,7 +242,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
         wanted = np.unique(np.array([r["hash"] for r in known.select("hash").distinct().collect()], np.int64).view(np.uint64))
         if not len(wanted):
             return docs.sparkSession.createDataFrame([], schema)
-    seen = settle(_texts(docs, "doc_id").mapInArrow(partial(_scan, widths=widths, wanted=wanted), _ROWS), "hits")
+    seen = settle(_texts(docs, "doc_id").mapInArrow(partial(_scan, widths=widths, exact=exact, wanted=wanted), _ROWS), "hits")
     pairs = seen.withColumnRenamed("id", "doc_id").join(known, "hash")
     pairs = pairs.withColumn("filled", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
     key = ["doc_id", "text_hash", "item_id", "item_hash", "n_windows"]

@@ -31,6 +31,15 @@ def test_cases(spark, max_filter):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {3, 4, 5, 6, 10}
 
 
+@pytest.mark.parametrize("max_filter", [1 << 20, 0])
+def test_items_without_plain_windows(spark, max_filter):
+    items = ["What is 12 + 45 * 3 - 7?", "Compute 3 + 4 * 5 .", "Find 2, 4, 8, 16, 32, 64, 128", "2 + 2 = 4", "the 5"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f'Some words "{q}"\nand others after it.', 0, "", 0) for i, q in enumerate(items)] + [(9, "What is 12 * 45 + 3 - 7? Compute 5 + 4 * 3 . Find 1, 2, 3, 5, 8, 13, 21", 0, "", 0)], DOCS)
+    got = D.find_leaks(docs, bench, max_filter=max_filter).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(len(items))} and not any(r["reworded"] for r in got)
+
+
 def test_every_verbatim_passage_and_no_other(spark):
     d = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
