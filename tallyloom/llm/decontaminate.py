@@ -39,6 +39,7 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 #: What may stand around a word that is taken as it is.
 _BEFORE, _AFTER = "\"'“”‘’«»([{", "\"'“”‘’«»)]}.,;:!?"
 WORD, NUMBER, UNIT, NOTHING = range(4)
+OPENING = 2  # the form in which words that open sentences are slots
 _BREAK = "\x01"
 #: A word's kind, whether it looks like a name, whether it ends a sentence, its hash.
 _SYMBOL = [("k", "i1"), ("n", "?"), ("e", "?"), ("h", "u8")]
@@ -77,7 +78,8 @@ class Templates:
 
     def symbols(self, texts: list[str | None]) -> list[tuple[list[tuple[np.ndarray, np.ndarray]], list[str], np.ndarray]]:
         """For each text: symbol hashes and whether each is a slot, first with names as slots, then with names as words, as
-        capitals are no sure sign of them; the words, and where in them each symbol's is. Words of punctuation alone have none."""
+        capitals are no sure sign of them, last also with the capitalised words that open sentences as slots; the words, and where
+        in them each symbol's is. Words of punctuation alone have none."""
         if len(self.rows) > MEMO:
             self.memo.clear()
             self.glued.clear()
@@ -104,7 +106,8 @@ class Templates:
         before = np.concatenate([[NOTHING], kind[:-1]]) if len(kind) else kind
         opens = first[:-1] | np.concatenate([[True], ends[:-1]])[: len(kind)]
         slot = np.select([kind == NUMBER, (kind == UNIT) & (before == NUMBER) & ~first[:-1], named & ~opens & (kind != NOTHING)], [1, 2, 3], 0)
-        forms = [(np.where(x > 0, x.astype(np.uint64), h), x > 0) for x in (slot, np.where(slot == 3, 0, slot))]
+        opening = np.where((slot == 0) & named & (kind != NOTHING), 3, slot)
+        forms = [(np.where(x > 0, x.astype(np.uint64), h), x > 0) for x in (slot, np.where(slot == 3, 0, slot), opening)]
         out, at = [], 0
         for words in split:
             part = slice(at, at + len(words))
@@ -149,9 +152,10 @@ def _strip(w: str) -> str:
     return _EDGE.sub("", w).lower()
 
 
-def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], exact: list[int], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """A row for each window (of those wanted, if given): id, text_hash, hash, pos, slots. exact: widths of windows of the words
-    as they stand, which have no slots."""
+def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], exact: list[int], whole: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """A row for each window (of those wanted, if given): id, text_hash, hash, pos, slots, opening (whether a word that opens a
+    sentence is a slot; only in windows of `whole` symbols, as one word more or less is much of a shorter item). exact: widths of
+    windows of the words as they stand, which have no slots."""
 
     def among(rolled: np.ndarray) -> np.ndarray:
         return wanted[np.minimum(np.searchsorted(wanted, rolled), len(wanted) - 1)] == rolled
@@ -160,31 +164,36 @@ def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], exact: list[int]
     for batch in batches:
         ids, hashes, texts = (c.to_pylist() for c in batch.columns)
         for a, b in chunks(texts):
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
             with np.errstate(over="ignore"):
                 for i, (forms, words, real) in zip(range(a, b), templates.symbols(texts[a:b]), strict=True):
-                    for width, (h, slot) in product(widths, forms):
+                    for width, (form, (h, slot)) in product(widths, enumerate(forms)):
+                        if form == OPENING and (width < whole or not (slot != forms[0][1]).any()):
+                            continue
                         rolled, good = windows(h, slot, width)
-                        if slot is not forms[0][1]:  # what has no names is there already
+                        if form and len(rolled):  # what has no names is there already
                             named = np.concatenate([[0], np.cumsum(forms[0][1] != slot)])
-                            good &= named[width:] > named[:-width] if len(rolled) else good
+                            if form == OPENING:  # counted among the windows with names as words; two words must remain
+                                total = np.concatenate([[0], np.cumsum(slot)])
+                                good = windows(*forms[1], width)[1] & (total[width:] - total[:-width] <= width - min(2, width))
+                            good &= named[width:] > named[:-width]
                         if wanted is not None and len(rolled):
                             good &= among(rolled)
                         for p in np.flatnonzero(good).tolist():
                             values = [_strip(words[real[q]]) for q in range(p, p + width) if slot[q]]
-                            for column, v in zip(rows, (ids[i], hashes[i], int(rolled[p].view(np.int64)), p, values), strict=True):
+                            for column, v in zip(rows, (ids[i], hashes[i], int(rolled[p].view(np.int64)), p, values, form == OPENING), strict=True):
                                 column.append(v)
                     for width in exact:
                         rolled = _roll(literal(words), width, width + (1 << 32))
                         for p in range(len(rolled)) if wanted is None else np.flatnonzero(among(rolled)).tolist():
-                            for column, v in zip(rows, (ids[i], hashes[i], int(rolled[p].view(np.int64)), p, []), strict=True):
+                            for column, v in zip(rows, (ids[i], hashes[i], int(rolled[p].view(np.int64)), p, [], False), strict=True):
                                 column.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["id", "text_hash", "hash", "pos", "slots"]
+                [pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_()), strict=True)], names=["id", "text_hash", "hash", "pos", "slots", "opening"]
             )
 
 
-_ROWS = "id long, text_hash long, hash long, pos long, slots array<string>"
+_ROWS = "id long, text_hash long, hash long, pos long, slots array<string>, opening boolean"
 
 
 def _texts(df: DataFrame, key: str) -> DataFrame:
@@ -207,7 +216,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
 
     docs: doc_id, text; benchmark: item_id, text; other columns are not read. An item leaks into a document if at least
     coverage of its windows of `window` template symbols occur there, counting only alignments in which equal slot values of
-    the item have equal values in the document. reworded: some slot's value differs. Windows with too few plain words are not
+    the item have equal values in the document. In items of at least a window, names that open sentences are slots too. reworded: some slot's value differs. Windows with too few plain words are not
     counted; an item that has no others is looked for by windows of its words as they stand, with numbers and operators, so that
     its copies are found (but not if it is shorter than a window and has no plain word: such a run of numbers is no item).
     Items shorter than a window are one window. Null or empty texts hold nothing and are no items; copies of a row
@@ -221,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
         return items.join(some, items["id"].eqNullSafe(some["_id"]) & (items["text_hash"] == some["_hash"])), sorted(r["w"] for r in some.select("w").distinct().collect())
 
     def scanned(wide: DataFrame, w: int, **how) -> DataFrame:
-        return wide.where(F.col("w") == w).select("id", "text_hash", "text").mapInArrow(partial(_scan, wanted=None, **how), _ROWS)
+        return wide.where(F.col("w") == w).select("id", "text_hash", "text").mapInArrow(partial(_scan, whole=window, wanted=None, **how), _ROWS)
 
     known = docs.sparkSession.createDataFrame([], _ROWS)
     wide, widths = widths_of(lengths, "n")
@@ -236,16 +245,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
             known = known.unionByName(scanned(wide, w, widths=[], exact=[w]).distinct())
         known = settle(known, "templates")
     sizes = known.groupBy("id", "text_hash").agg(F.countDistinct("pos").alias("n_windows"))
-    known = settle(known.join(sizes, ["id", "text_hash"]).select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "hash", F.col("pos").alias("at"), F.col("slots").alias("item_slots"), "n_windows"), "templates")
+    known = settle(known.join(sizes, ["id", "text_hash"]).select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "hash", F.col("pos").alias("at"), F.col("slots").alias("item_slots"), F.col("opening").alias("item_opening"), "n_windows"), "templates")
     wanted = None
     if known.count() <= max_filter:
         wanted = np.unique(np.array([r["hash"] for r in known.select("hash").distinct().collect()], np.int64).view(np.uint64))
         if not len(wanted):
             return docs.sparkSession.createDataFrame([], schema)
-    seen = settle(_texts(docs, "doc_id").mapInArrow(partial(_scan, widths=widths, exact=exact, wanted=wanted), _ROWS), "hits")
+    seen = settle(_texts(docs, "doc_id").mapInArrow(partial(_scan, widths=widths, exact=exact, whole=window, wanted=wanted), _ROWS), "hits")
     pairs = seen.withColumnRenamed("id", "doc_id").join(known, "hash")
     pairs = pairs.withColumn("filled", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
-    key = ["doc_id", "text_hash", "item_id", "item_hash", "n_windows"]
+    # An alignment counts without the words that open sentences as slots, or with them: these may fit it or spoil it.
+    pairs = pairs.withColumn("openings", F.explode(F.when(F.col("opening") | F.col("item_opening"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    key = ["doc_id", "text_hash", "item_id", "item_hash", "n_windows", "openings"]
     aligned = pairs.groupBy(*key, (F.col("pos") - F.col("at")).alias("shift")).agg(
         F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("filled"))).alias("filled")
     )

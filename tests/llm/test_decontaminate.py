@@ -40,6 +40,18 @@ def test_items_without_plain_windows(spark, max_filter):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(len(items))} and not any(r["reworded"] for r in got)
 
 
+def test_names_that_open_sentences(spark):
+    item = "Tom has 12 apples. Tom gives 5 apples to Ann. How many apples does Tom have left?"
+    other = "She has 12 red apples in her old bag. She gives 5 of them to the boy next door at ten in the morning. How many apples are then left in the bag?"
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    texts = [
+        item.replace("Tom", "Bob"), "Question 7: " + item.replace("Tom", "Bob").replace("Ann", "Eve").replace("12", "31"), item.replace("Tom", "Bob", 1), item,
+        other.replace("She gives", "He gives"), "Rain has come. Rain gives us water to drink. How many days does Rain have left?",
+    ]
+    got = D.find_leaks(spark.createDataFrame([(i, t, 0, "", 0) for i, t in enumerate(texts)], DOCS), bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["reworded"]) for r in got} == {(0, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 2, False)}
+
+
 def test_every_verbatim_passage_and_no_other(spark):
     d = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
