@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -53,14 +54,18 @@ def compact(r: Segmentation, events: DataFrame, catalog: Catalog, profiles: Data
 def chart(r: Segmentation, events: DataFrame, catalog: Catalog, profiles: DataFrame | None = None, limit: int = 50) -> DataFrame:
     """A row per event, segment, breakdown values and metric; columns Average and a bucket each, greatest average first.
 
-    Rows beyond the first `limit` of a breakdown value are left out."""
-    long = compact(r, events, catalog, profiles)
-    dims = [c for c in long.columns if c not in ("bucket", "value", "compare_value")]
-    by_time = shaping.pivot_time(long.drop("compare_value"), r.time, r.unit)
-    out = shaping.average_and_sort(by_time.select(*dims, *[c for c in by_time.columns if c not in dims]), len(dims))
-    breakdowns = [c for c in dims if c not in ("event", "segment", "agg_name")]
-    order = [F.desc_nulls_last("Average"), *[F.col(d) for d in dims]]
-    capped = shaping.limit_groups(out, breakdowns, order, limit)
+    Of each event, rows beyond the first `limit` of a value of its own breakdowns are left out."""
+    catalog.validate_segmentation(r)
+    parts = []
+    for q in r.events:
+        long = compact(replace(r, events=(q,)), events, catalog, profiles)
+        dims = [c for c in long.columns if c not in ("bucket", "value", "compare_value")]
+        by_time = shaping.pivot_time(long.drop("compare_value"), r.time, r.unit)
+        out = shaping.average_and_sort(by_time.select(*dims, *[c for c in by_time.columns if c not in dims]), len(dims))
+        order = [F.desc_nulls_last("Average"), *[F.col(d) for d in dims]]
+        parts.append(shaping.limit_groups(out, [c for c in dims if c not in ("event", "segment", "agg_name")], order, limit))
+    capped = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    breakdowns = [*dict.fromkeys(k for q in r.events for k in (*q.breakdowns, *r.breakdowns))]
     named = shaping.rename(shaping.reorder(capped, ["event", "segment", *breakdowns, "agg_name", "Average"]), {"event": "Event", "segment": "Segment", "agg_name": "Formula"})
     return named.orderBy(F.desc_nulls_last("Average"))
 

@@ -37,6 +37,20 @@ def test_same_rows_as_sql(spark, db, name):
     assert norm(tuple(r) for r in df.select(*[f"`{n}`" for n in names]).collect()) == norm(cursor.fetchall())
 
 
+def test_chart_caps_each_event_by_its_own_breakdowns(spark):
+    rows = [("click", f"b{i}", None) for i in range(60)] + [("view", "b0", f"p{i}") for i in range(70)]
+    events = spark.createDataFrame([(1, i, Q.START, e, b, p) for i, (e, b, p) in enumerate(rows)], "project_id long, group_0 long, created_at timestamp_ntz, event string, band string, plan string")
+    count = lambda e, *keys: Q.EventQuery(Q.EventRef(e), (Q.CountEvents(),), keys)
+
+    def sizes(*queries, limit=50):
+        out = Q.segmentation.chart(Q.Segmentation(Q.TIME, "week", queries), events, Q.CATALOG, limit=limit).collect()
+        return {e: sum(r["Event"] == e for r in out) for e in ("click", "view")}
+
+    assert sizes(count("click", "band"), count("view", "plan")) == {"click": 60, "view": 70}
+    assert sizes(count("click", "band"), count("view", "band"), limit=1) == {"click": 60, "view": 1}
+    assert sizes(count("click", "band"), count("view", "band", "plan")) == {"click": 60, "view": 50}
+
+
 def test_profiles_of_all_customers_are_merged(spark):
     ids = {str(r["c_custkey"]) for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
     assert {r["id"] for r in Q.QUERIES["identify_merge_all"](spark, SF).collect()} == ids and any(int(i) % 10 for i in ids)
