@@ -21,7 +21,10 @@ from .superminhash import chunks
 
 #: Elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object audio video canvas title xmp noembed noframes head".split())
+RAW = frozenset("script style textarea iframe title xmp noembed noframes head".split())
+#: Elements whose content is no text, but markup: they end with their parent at the latest. A block ends one of the second group.
+HIDDEN = frozenset("noscript template svg math object audio video canvas foreignobject title".split())
+ENDED_BY_BLOCK = frozenset("svg math title".split())
 BLOCK = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td
@@ -61,6 +64,7 @@ class Node:
     furniture: bool
     article: bool
     number: int
+    dropped: bool = False
 
 
 @dataclass
@@ -93,7 +97,7 @@ def _open(tag: str, attrs: str, parent: Node | None, number: int) -> Node:
                 article |= value.lower() in ("main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 furniture = True
-    return Node(tag, parent.depth + 1 if parent else 0, parent, furniture or (parent is not None and parent.furniture), article or inside, number)
+    return Node(tag, parent.depth + 1 if parent else 0, parent, furniture or (parent is not None and parent.furniture), article or inside, number, tag in HIDDEN or (parent is not None and parent.dropped))
 
 
 def blocks(page: str) -> list[Block]:
@@ -101,12 +105,15 @@ def blocks(page: str) -> list[Block]:
     root = Node("#root", 0, None, False, False, 0)
     stack, out, held, linked, in_link, number, at = [root], [], [], 0, 0, 0, 0
     lower = None
+    spans: list[Node] = []  # for each open span, what is on top of the stack when it may end
 
-    def flush() -> None:
+    def flush(ends: bool = False) -> None:
         nonlocal linked
+        if stack[-1].dropped and not ends:
+            return
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            node = stack[-1]
+            node = next(x for x in reversed(stack) if not x.dropped)
             names = set()
             up = node
             while up is not None and len(names) < 12:
@@ -117,11 +124,12 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def close_to(i: int) -> None:
-        flush()
+        if not stack[i].dropped:
+            flush(True)
         del stack[i:]
 
     for m in iter(lambda: _TAG.search(page, at), None):
-        if m.start() > at:
+        if m.start() > at and not stack[-1].dropped:
             held.append(piece := page[at : m.start()])
             if in_link:
                 linked += len(piece.strip())
@@ -131,8 +139,15 @@ def blocks(page: str) -> list[Block]:
         tag = m[2].lower()
         if m[1]:
             if tag == "a":
-                in_link = max(0, in_link - 1)
-            elif tag in BLOCK:
+                in_link = max(0, in_link - 1) if not stack[-1].dropped else in_link
+            elif tag == "span":
+                while spans and not any(x is spans[-1] for x in stack):
+                    spans.pop()
+                if spans and spans[-1] is stack[-1]:
+                    top = spans.pop()
+                    if top.tag == "span" and not (spans and spans[-1] is top):  # the outermost of those in it
+                        close_to(len(stack) - 1)
+            elif tag in BLOCK or tag in HIDDEN:
                 i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
                 if i:
                     close_to(i)
@@ -148,7 +163,9 @@ def blocks(page: str) -> list[Block]:
                 if tag == "head":
                     stop = re.compile(r"</head|<body", re.I).search(page, at)
                     end = stop.start() if stop else -1
-                if end < 0 and tag != "head":  # never closed: it holds the rest of the page
+                if end < 0 and tag == "title":
+                    stack.append(_open(tag, "", stack[-1], number))
+                elif end < 0 and tag != "head":  # never closed: it holds the rest of the page
                     at = len(page)
                     break
                 at = at if end < 0 else end
@@ -157,6 +174,11 @@ def blocks(page: str) -> list[Block]:
                     at = len(page) if close < 0 else close + 1
             held.append(" ")
             continue
+        if tag in HIDDEN:  # inside a line it is no end of the block
+            if not m[3].rstrip().endswith("/") and (tag != "foreignobject" or stack[-1].dropped):
+                held.append(" ")
+                stack.append(_open(tag, "", stack[-1], number))
+            continue
         if tag in ("br", "img", "wbr") or tag in VOID:
             if tag == "hr":
                 flush()
@@ -164,37 +186,36 @@ def blocks(page: str) -> list[Block]:
                 held.append(" ")
             continue
         if tag == "a":
-            in_link = 1
+            in_link = 1 if not stack[-1].dropped else in_link
             continue
         if tag in BLOCK or tag in FURNITURE:
+            if stack[-1].tag in ENDED_BY_BLOCK:
+                while stack[-1].tag in ENDED_BY_BLOCK:
+                    del stack[-1]
             flush()
-            in_link = 0
+            in_link = 0 if not stack[-1].dropped else in_link
             if tag in ENDS_P:
-                i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in ("td", "th", "li", "button")), 0)
+                i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in ("td", "th", "li", "button") or stack[i].tag in HIDDEN), 0)
                 if i and stack[i].tag == "p":
                     del stack[i:]
             if tag in ENDS:
-                ends, bound = ENDS[tag]
+                ends, bound = ENDS[tag][0], ENDS[tag][1] | HIDDEN
                 while len(stack) > 1 and (i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ends or stack[i].tag in bound), 0)) and stack[i].tag in ends:
                     del stack[i:]
             if tag in ("html", "body") and any(n.tag == tag for n in stack):
                 continue
             number += 1
             stack.append(_open(tag, m[3], stack[-1], number))
-        elif m[3] and not m[3].rstrip().endswith("/") and tag == "span":
+        elif tag == "span" and not m[3].rstrip().endswith("/"):
             node = _open(tag, m[3], stack[-1], number + 1)
-            if node.furniture and not stack[-1].furniture:  # what is hidden or an advert inside a line is a block of its own
+            if node.furniture and not stack[-1].furniture and not stack[-1].dropped:  # what is hidden or an advert inside a line is a block of its own
                 flush()
                 number += 1
-                close = re.compile(r"</span\s*>", re.I).search(page, at)
-                inner = page[at : close.start()] if close else page[at:]
-                text = " ".join(html.unescape(re.sub(r"<[^>]*>", "", inner)).split())
-                if text:
-                    out.append(Block(text, node, 0, False, False, False))
-                at = close.end() if close else len(page)
-    if at < len(page):
+                stack.append(node)
+            spans.append(stack[-1])
+    if at < len(page) and not stack[-1].dropped:
         held.append(page[at:])
-    flush()
+    flush(True)
     return out
 
 

@@ -36,6 +36,22 @@ def test_nothing(page):
     assert M.main_text(page) in ("", "<" * 50, "<p")
 
 
+LONG = "".join(f"<p>This is sentence number {i} of the article, and it is long enough.</p>" for i in range(3))
+SAID = " ".join(f"This is sentence number {i} of the article, and it is long enough." for i in range(3))
+FIRST = "Here is the first text of the article, which goes on."
+
+
+@pytest.mark.parametrize("odd,want", [
+    ('<p>%s <span class="share">Share</p>', FIRST), ('<p>%s <span class="share">Share<p>', FIRST), ('<div>%s <span class="share">Share</div>', FIRST),
+    ('<p>%s <span class="ad">Buy <span>this <span>new</span></span> thing</span></p>', FIRST), ('<p>%s <span>It</span> <span>is</span> so.</p>', FIRST + " It is so."),
+    *((f"<div><p>%s</p><{t}>inner</div>", FIRST) for t in ("svg", "math", "object", "video", "canvas", "noscript", "template", "title")),
+    ("<p>%s <svg><path d=1></p>", FIRST), ("<p>%s <svg><title>t</title><foreignObject><div>inner</div></foreignObject></svg> It is so.</p>", FIRST + " It is so."),
+    ("<p>%s <template><p>inner</p><div>x</div></template> It is so.</p>", FIRST + " It is so."), ("<div><svg></div><p>%s</p><div><svg></svg></div>", FIRST),
+])
+def test_open_elements_end_with_their_block(odd, want):
+    assert M.main_text(f"<body><article>{odd % FIRST}{LONG}</article></body>") == f"{want} {SAID}"
+
+
 def test_labels_minimise_the_cut():
     r = random.Random(1)
     for _ in range(60):
