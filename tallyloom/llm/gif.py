@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,87 +25,104 @@ DELAY = 10  # hundredths of a second
 PALETTE = np.stack([np.arange(256), np.arange(256) * 5 % 256, 255 - np.arange(256)], 1).astype(np.uint8)
 
 
+def _run(bits: int) -> int:
+    """Codes between two clear codes of an encoder that clears as soon as a code of 13 bits would be next."""
+    return 4094 - (1 << bits)
+
+
+@cache
+def _width_mask(bits: int, n: int) -> np.ndarray:
+    """[n, 16]: which bits of a stream's first n codes are written. As codes widen by their number since the last clear code
+    alone, this is the same for all streams: a clear code, then again and again a run of codes and a clear code."""
+    number = np.concatenate([[1], np.arange(n - 1) % (_run(bits) + 1) + 1])
+    width = np.clip(np.ceil(np.log2((1 << bits) + number + 1)), bits + 1, 12)
+    return np.arange(16) < width[:, None]
+
+
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
-    """A GIF code stream: clear code first, codes of bits + 1 to 12 bits, a new table whenever 4096 codes are in use."""
-    clear, width, nxt = 1 << bits, bits + 1, (1 << bits) + 2
-    table: dict[int, int] = {}
-    get, out = table.get, bytearray()
-    acc, held, limit = clear, width, 1 << width
-    it = iter(data)
-    w = next(it, None)
-    if w is not None:
+    """A GIF code stream: clear code first, codes of bits + 1 to 12 bits, a new table whenever 4096 codes are in use.
+
+    The table is a tree: a code's node maps the next value to the code of both."""
+    clear, run = 1 << bits, _run(bits)
+    codes, it = [clear], iter(data)
+    put, code = codes.append, next(it, None)
+    while code is not None:
+        nodes: list[dict[int, int]] = [{} for _ in range(clear + 2)]
+        new, node, opening = nodes.append, nodes[code], None
+        nxt, full = clear + 2, clear + 2 + run
         for b in it:
-            c = get(w << 8 | b)
-            if c is not None:
-                w = c
+            if b in node:
+                code = node[b]
+                node = nodes[code]
                 continue
-            acc |= w << held
-            held += width
-            table[w << 8 | b] = nxt
-            w = b
+            put(code)
+            node[b] = nxt
+            new({})
+            code, node = b, nodes[b]
             nxt += 1
-            if nxt > limit:
-                if width == 12:
-                    acc |= clear << held
-                    held += 12
-                    table.clear()
-                    width, nxt = bits + 1, clear + 2
-                else:
-                    width += 1
-                limit = 1 << width
-                if limit == 4096:
-                    limit = 4095  # so that the table never holds a code of 13 bits
-            if held > 2048:
-                out += (acc & ((1 << 2048) - 1)).to_bytes(256, "little")
-                acc >>= 2048
-                held -= 2048
-        acc |= w << held
-        held += width
-        nxt += 1
-        if nxt > 1 << width and width < 12:
-            width += 1
-    acc |= (clear + 1) << held
-    return bytes(out + acc.to_bytes((held + width + 7) // 8, "little"))
+            if nxt == full:
+                put(clear)
+                opening = b
+                break
+        else:
+            put(code)
+        code = opening
+    put(clear + 1)
+    n = len(codes)
+    each = np.unpackbits(np.array(codes, "<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(each[_width_mask(bits, -(-n // 4096) * 4096)[:n]], bitorder="little").tobytes()
 
 
 def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
-    """The first size values of a code stream; ValueError if it holds fewer or a code that has no meaning yet."""
+    """The first size values of a code stream; ValueError if it holds fewer or a code that has no meaning yet.
+
+    Codes of one width are unpacked together; only looking them up goes one by one."""
     clear, end = 1 << bits, (1 << bits) + 1
     first = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, mask, at, last = first[:], bits + 1, (2 << bits) - 1, 0, None
-    out, n, stop = [], 0, len(data) * 8
-    read, add, put = int.from_bytes, table.append, out.append
-    grow = mask + 1
+    stream = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    out, n, at, table, width, last = [], 0, 0, first[:], bits + 1, None
     while n < size:
-        if at + width > stop:
+        # So many codes have this width: until the table, which each but the first adds to, has no free place for it.
+        room = (1 << width) - len(table) + (last is None) if len(table) < 4096 else 4096
+        k = min(room, (len(stream) - at) // width)
+        if k <= 0:
             raise ValueError("the code stream ends early")
-        code = read(data[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & mask
-        at += width
-        if code == clear:
-            table, width, mask, last = first[:], bits + 1, (2 << bits) - 1, None
-            add, grow = table.append, mask + 1
-            continue
-        if code == end:
-            raise ValueError("the code stream ends early")
-        k = len(table)
-        if code < k:
-            entry = table[code]
-            if last is not None and k < 4096:
-                add(last + entry[:1])
-                k += 1
-        elif code == k and last is not None and k < 4096:
-            entry = last + last[:1]
-            add(entry)
-            k += 1
-        else:
-            raise ValueError("a code has no meaning yet")
-        put(entry)
-        n += len(entry)
-        last = entry
-        if k == grow and width < 12:
+        codes = (stream[at : at + k * width].reshape(k, width) @ (1 << np.arange(width))).astype(np.int64)
+        marks = np.flatnonzero((codes == clear) | (codes == end))
+        stop = int(marks[0]) if len(marks) else k
+        listed, got = codes[:stop].tolist(), len(out)
+        at += min(stop + 1, k) * width
+        if listed and last is None:
+            last = table[listed[0]] if listed[0] < clear else b""
+            if not last:
+                raise ValueError("a code has no meaning yet")
+            out.append(last)
+            del listed[0]
+        add, put = table.append, out.append
+        try:
+            if len(table) >= 4096:
+                out += map(table.__getitem__, listed)
+                last = out[-1]
+            else:
+                for code in listed:
+                    if code == len(table):
+                        entry = last + last[:1]
+                    else:
+                        entry = table[code]
+                    add(last + entry[:1])
+                    put(entry)
+                    last = entry
+        except IndexError:
+            raise ValueError("a code has no meaning yet") from None
+        n += sum(map(len, out[got:]))
+        if stop < k:
+            if codes[stop] == end:
+                break
+            table, width, last = first[:], bits + 1, None
+        elif len(table) == 1 << width and width < 12:
             width += 1
-            mask = (1 << width) - 1
-            grow = mask + 1
+    if n < size:
+        raise ValueError("the code stream ends early")
     return b"".join(out)[:size]
 
 
@@ -197,9 +215,10 @@ def decode(data: bytes) -> Iterator[Frame]:
             before = canvas.copy() if disposal == 3 else None
             index = index[: max(0, height - y), : max(0, width - x)]
             box = (x, y, index.shape[1], index.shape[0])
-            drawn = np.concatenate([palette, np.zeros((256 - len(palette), 3), np.uint8)])[index]
+            colours = np.zeros((256, 4), np.uint8)
+            colours[: len(palette), :3], colours[:, 3] = palette, 255
             region, seen = canvas[y : y + box[3], x : x + box[2]], slice(None) if clear is None else index != clear
-            region[seen] = np.concatenate([drawn, np.full((*index.shape, 1), 255, np.uint8)], 2)[seen]
+            region[seen] = colours[index][seen]
             yield Frame(canvas.copy(), box, delay, disposal)
             if disposal == 2:
                 region[...] = 0
