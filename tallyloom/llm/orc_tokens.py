@@ -3,30 +3,46 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path
-from .superminhash import chunks
+from .superminhash import stretches
 
 #: Words whose ids a worker remembers; beyond that it starts anew.
-MEMO = 800_000
+MEMO = 1_000_000
+#: A pass over texts handles so many bytes at a time.
+CHUNK_BYTES = 8 << 20
 END_ID = 1
-_MARKS, _PLAIN = b".,;:!?", frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+#: ASCII punctuation but the apostrophe, with which some pieces begin.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: What the files hold. part and part_start: the file's number, and how many ids stand in it before this document.
-FILE_SCHEMA = "doc_id long, part int, part_start long, ids array<int>"
+FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
+
+
+def _ends_a_piece(core: str) -> bool:
+    """Whether marks behind core are a piece of their own: core, normalised, ends with a letter or digit."""
+    return unicodedata.category(unicodedata.normalize("NFC", core).lower()[-1])[0] in "LN"
+
+
+def _pick(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of flat that begin at first, one behind the other, and where each begins there (with the end)."""
+    begins = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(first - begins[:-1], size) + np.arange(begins[-1])], begins
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizers file, word by word with a memo.
+    """Encodes texts with a tokenizers file, each distinct word once for all texts of a call, with a memo.
 
     Exact for vocabularies whose pieces never cross ASCII white space and drop it (NFC, per-character lower case and a
     pre-tokenizer that splits there): no step then looks beyond a word. Special tokens in a text are met inside words."""
@@ -35,68 +51,94 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, "<i4")
+        self.first = self.size = np.zeros(0, np.int64)  # of each word's ids
 
-    def encode(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, end_id last."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, end = self.memo, np.array([end_id], "<u4").tobytes()
+    def encode(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end_id behind each, and where in them each text begins (with the end of the last)."""
+        if len(self.words) > MEMO:
+            self._forget()
         # The vocabulary is lower case; special tokens are looked for before that, so texts that may hold one stay as they are.
-        split = [(t if b"<|" in t else t.lower()).split() for t in (t or b"" for t in texts)]
-        coded = [list(map(memo.get, words)) for words in split]
-        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in coded]
-        if new := {words[i] for words, gap in zip(split, gaps, strict=True) for i in gap}:
+        plain = pc.fill_null(texts, "")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(plain, "<|"), plain, pc.ascii_lower(plain)))
+        coded = split.flatten().dictionary_encode()
+        at = self._known(coded.dictionary)[coded.indices.to_numpy()]
+        ids, upto = _pick(self.ids, self.first[at], self.size[at])
+        begins = upto[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])] + np.arange(len(texts) + 1)
+        out = np.full(len(ids) + len(texts), end_id, "<i4")
+        own = np.ones(len(out), bool)
+        own[begins[1:] - 1] = False
+        out[own] = ids
+        return out, begins
+
+    def _known(self, words: pa.StringArray) -> np.ndarray:
+        """The numbers of words (distinct ones), which are learned first if they are new."""
+        found = pc.index_in(words, value_set=self.words)
+        new = words.filter(found.is_null())
+        at, n = found.fill_null(-1).to_numpy().astype(np.int64), len(self.words)
+        if len(new):
             self._learn(new)
-        for words, ids, gap in zip(split, coded, gaps, strict=True):
-            for i in gap:
-                ids[i] = memo[words[i]]
-            ids.append(end)
-        return [b"".join(ids) for ids in coded]
+            at[at < 0] = n + pc.index_in(new, value_set=self.words[n:]).to_numpy()
+        return at
+
+    def _add(self, words: pa.StringArray, ids: np.ndarray, size: np.ndarray) -> None:
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.words, self.size, self.ids = pa.concat_arrays([self.words, words]), np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, new: pa.StringArray) -> None:
         """Marks behind a letter or digit are a piece of their own, so that a word is learned once for all marks."""
-        memo, whole, cut = self.memo, set(), []
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if len(core) < len(w) and core and (core[-1] in _PLAIN or core[-1] > 127 and core.decode("utf-8")[-1].isalnum()) and b"<|" not in w:
-                cut.append((w, core))
-                whole.add(core)
-                whole.add(w[len(core) :])
-            else:
-                whole.add(w)
-        whole -= memo.keys()
-        letters = [w for w in whole if w.isalpha() or (not w.isascii() and w.decode().isalpha())]
-        others = list(whole.difference(letters))
-        for at in range(0, len(letters), 128):  # a word of letters is one piece, so that many can be encoded at once
-            part = letters[at : at + 128]
-            e = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+        core = pc.ascii_rtrim(new, characters=_MARKS)
+        cut = pc.and_(pc.and_(pc.less(pc.binary_length(core), pc.binary_length(new)), pc.greater(pc.binary_length(core), 0)), pc.invert(pc.match_substring(new, "<|")))
+        cut = cut.to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(cut & ~pc.match_substring_regex(core, "[0-9A-Za-z]$").to_numpy(zero_copy_only=False))
+        cut[odd] = [_ends_a_piece(x) for x in core.take(pa.array(odd)).to_pylist()]
+        both, core = new.filter(pa.array(cut)), core.filter(pa.array(cut))
+        tail = pc.struct_field(pc.extract_regex(both, f"(?P<tail>[{re.escape(_MARKS)}]+)$"), "tail")
+        parts = pc.unique(pa.concat_arrays([new.filter(pa.array(~cut)), core, tail]))
+        parts = parts.filter(pc.invert(pc.is_in(parts, value_set=self.words)))
+        self._add(parts, *self._encode_parts(parts))
+        halves = np.stack([pc.index_in(x, value_set=self.words).to_numpy() for x in (core, tail)], 1).ravel()
+        ids, begins = _pick(self.ids, self.first[halves], self.size[halves])
+        self._add(both, ids, np.diff(begins[::2]))
+
+    def _encode_parts(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """ids and sizes of each. A word of letters is one piece, so that many can be encoded at once."""
+        letters = pc.utf8_is_alpha(parts).to_numpy(zero_copy_only=False)
+        where, others = np.flatnonzero(letters), [np.flatnonzero(~letters)]
+        groups = pa.ListArray.from_arrays(pa.array([*range(0, len(where), 128), len(where)], pa.int32()), parts.take(pa.array(where)))
+        done, ids, sizes = [], [], []
+        for i, text in enumerate(pc.binary_join(groups, " ").to_pylist()):
+            group, e = where[128 * i : 128 * (i + 1)], self.tokenizer.encode(text, add_special_tokens=False)
             n = np.bincount(e.word_ids) if e.ids else []
-            if len(n) != len(part):
-                others += part
+            if len(n) != len(group):
+                others.append(group)
                 continue
-            raw, start = array("I", e.ids).tobytes(), 0
-            for w, end in zip(part, (4 * np.cumsum(n)).tolist(), strict=True):
-                memo[w], start = raw[start:end], end
-        for w, e in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
-            memo[w] = array("I", e.ids).tobytes()
-        for w, core in cut:
-            memo[w] = memo[core] + memo[w[len(core) :]]
+            done.append(group)
+            ids += e.ids
+            sizes.append(n)
+        rest = np.concatenate(others)
+        for e in self.tokenizer.encode_batch_fast(parts.take(pa.array(rest)).to_pylist(), add_special_tokens=False):
+            ids += e.ids
+            sizes.append([len(e.ids)])
+        order = np.argsort(np.concatenate([*done, rest]))
+        size = np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)
+        return _pick(np.array(ids, "<i4"), (np.cumsum(size) - size)[order], size[order])[0], size[order]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, part, done = WordEncoder(path), TaskContext.get().partitionId(), 0
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        for a, b in chunks(texts):
-            coded = encoder.encode(texts[a:b], end_id)
-            ends = np.cumsum([0, *(len(x) // 4 for x in coded)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[a:b], pa.array(np.full(b - a, part, np.int32)), pa.array(done + ends[:-1], pa.int64()), ids],
-                names=["doc_id", "part", "part_start", "ids"],
-            )
-            done += int(ends[-1])
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+        for a, b in stretches(size, CHUNK_BYTES):
+            ids, begins = encoder.encode(batch.column(1)[a:b], end_id)
+            lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))
+            columns = [batch.column(0)[a:b], pa.array(np.full(b - a, part, np.int32)), pa.array(done + begins[:-1]), pa.array(np.diff(begins), pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "part_start", "n_tokens", "ids"])
+            done += len(ids)
 
 
 def write_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, stripe_bytes: int = 64 << 20, stride: int = 2000) -> None:
@@ -125,7 +167,7 @@ def read_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -
 
 def _digest(batches: Iterator[pa.RecordBatch], base: dict[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, part, start, ids = batch.columns
+        doc, part, start, _, ids = batch.columns
         ends = ids.offsets.to_numpy()
         raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<u4")).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -140,7 +182,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
     Only one total per file comes to the driver."""
     rows = read_orc(spark, path)
-    totals = rows.groupBy("part").agg(F.max(F.col("part_start") + F.size("ids")).alias("n")).collect()
+    totals = rows.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("n")).collect()
     base, done = {}, 0
     for part, n in sorted((r["part"], r["n"]) for r in totals):
         base[part], done = done, done + n

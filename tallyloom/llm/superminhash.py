@@ -8,7 +8,7 @@ pair is confirmed on the whole sets. Shingles are compared by 64-bit hashes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -108,15 +108,20 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def chunks(texts: list[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
+def stretches(sizes: Iterable[int], size: int) -> Iterator[tuple[int, int]]:
+    """Runs (start, end) of consecutive entries whose sizes add up to about size."""
+    start = held = end = 0
+    for end, n in enumerate(sizes, 1):
+        held += n
         if held >= size:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+            yield start, end
+            start, held = end, 0
+    if start < end:
+        yield start, end
+
+
+def chunks(texts: list[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    return stretches((len(t or "") for t in texts), size)
 
 
 def _profile(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
