@@ -5,22 +5,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .superminhash import chunks, mix
+from .superminhash import mix, stretches
 
 WINDOW, COVERAGE = 5, 0.8
-#: Up to so many distinct windows of the benchmark (8 bytes each) go to the executors as a filter; beyond, all windows
-#: of the documents meet the benchmark's in a shuffle join instead.
-MAX_FILTER = 1 << 20
+#: The filter of the benchmark's windows that all documents pass: 2^FILTER_BITS bits, at any number of windows.
+FILTER_BITS = 26
 #: Words that are units where they follow a number.
 UNITS = frozenset(
     """mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonnes pound pounds lb
@@ -41,28 +42,53 @@ _BEFORE, _AFTER = "\"'“”‘’«»([{", "\"'“”‘’«»)]}.,;:!?"
 WORD, NUMBER, UNIT, NOTHING = range(4)
 OPENING = 2  # the form in which words that open sentences are slots
 _BREAK = "\x01"
-#: A word's kind, whether it looks like a name, whether it ends a sentence, its hash.
-_SYMBOL = [("k", "i1"), ("n", "?"), ("e", "?"), ("h", "u8")]
+#: A word's kind, whether it looks like a name, whether it ends a sentence, its hash, and that of it as it stands (0: none).
+_SYMBOL = [("k", "i1"), ("n", "?"), ("e", "?"), ("h", "u8"), ("l", "u8")]
 #: Words that a worker remembers.
-MEMO = 300_000
+MEMO = 600_000
+#: A pass over texts handles so many bytes at a time.
+CHUNK_BYTES = 4 << 20
+_xxh = xxhash.xxh3_64_intdigest
+
+
+@dataclass
+class Symbols:
+    """The template symbols of many texts, one text behind the other. Words of punctuation alone have none.
+
+    forms: hashes and whether each is a slot, first with names as slots, then with names as words, as capitals are no sure
+    sign of them, last also with the capitalised words that open sentences as slots."""
+
+    words: pa.StringArray  # all kinds of words
+    code: np.ndarray  # which of them each symbol is
+    owner: np.ndarray  # the text of each symbol
+    kind: np.ndarray  # 1 number, 2 unit, 3 name, 0 word, in the form in which most are slots
+    forms: list[tuple[np.ndarray, np.ndarray]]
+    literal: np.ndarray  # hashes of the words as they stand, with numbers and operators, without outer quotes, brackets and stops
+    literal_owner: np.ndarray
 
 
 class Templates:
     """Turns texts into template symbols, in numpy over many texts at once."""
 
     def __init__(self):
-        self.memo: dict[str, int] = {}
-        self.glued: set[str] = set()  # words that are a number and a unit
-        self.rows: list[tuple[int, bool, bool, int]] = []
-        self.table = np.zeros(0, _SYMBOL)  # rows so far, as an array
+        self._forget()
 
-    def _look(self, raw: str) -> int:
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.table = np.zeros(0, _SYMBOL)
+        self.parts = np.zeros((0, 2), np.int64)  # of a word that is a number and a unit, their numbers; else its own, and -1
+
+    @staticmethod
+    def _look(raw: str) -> tuple[int, bool, bool, int, int]:
         core = raw if raw.isalpha() else raw.rstrip(".,;:!?")
         plain = core.isalpha()  # most words: nothing else to strip, and no digits
+        low = core.lower()
+        as_it_stands = low
         if not plain:
             core = _EDGE.sub("", raw)
+            low = core.lower()
+            as_it_stands = raw.lstrip(_BEFORE).rstrip(_AFTER).lower() if raw != _BREAK else ""
         ends = raw == _BREAK or raw[-1:] in ".!?:" or raw[-2:-1] in (".", "!", "?")
-        low = core.lower()
         if not core:
             kind = NOTHING
         elif low in NUMBER_WORDS or not plain and _NUMBER.fullmatch(core):
@@ -70,127 +96,126 @@ class Templates:
         else:
             kind = UNIT if low in UNITS else WORD
         named = len(core) > 1 and core[0].isupper() and core[1:].islower()
-        if raw in self.memo:
-            return self.memo[raw]
-        self.rows.append((kind, named, ends, xxhash.xxh3_64_intdigest(low)))
-        self.memo[raw] = len(self.rows) - 1
-        return self.memo[raw]
-
-    def symbols(self, texts: list[str | None]) -> list[tuple[list[tuple[np.ndarray, np.ndarray]], list[str], np.ndarray]]:
-        """For each text: symbol hashes and whether each is a slot, first with names as slots, then with names as words, as
-        capitals are no sure sign of them, last also with the capitalised words that open sentences as slots; the words, and where
-        in them each symbol's is. Words of punctuation alone have none."""
-        if len(self.rows) > MEMO:
-            self.memo.clear()
-            self.glued.clear()
-            self.rows.clear()
-            self.table = self.table[:0]
-        split = [(t or "").replace("\n", f" {_BREAK} ").split() for t in texts]
-        for w in {w for words in split for w in words} - self.memo.keys():
-            if w[0].isdigit() and len(parts := self._parts(w)) > 1:
-                self.glued.add(w)
-                for x in parts:
-                    self._look(x)
-            else:
-                self._look(w)
-        if self.glued:
-            split = [words if self.glued.isdisjoint(words) else [p for w in words for p in self._parts(w)] for words in split]
-        flat = [w for words in split for w in words]
-        code = np.fromiter((self.memo[w] for w in flat), np.int64, len(flat))
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], _SYMBOL)])
-        table = self.table
-        kind, named, ends, h = (table[c][code] for c in "kneh")
-        first = np.zeros(len(flat) + 1, bool)
-        first[np.cumsum([0, *map(len, split)])] = True
-        before = np.concatenate([[NOTHING], kind[:-1]]) if len(kind) else kind
-        opens = first[:-1] | np.concatenate([[True], ends[:-1]])[: len(kind)]
-        slot = np.select([kind == NUMBER, (kind == UNIT) & (before == NUMBER) & ~first[:-1], named & ~opens & (kind != NOTHING)], [1, 2, 3], 0)
+        h = _xxh(low)
+        return kind, named, ends, h, 0 if not as_it_stands else h if as_it_stands == low else _xxh(as_it_stands)
+
+    def _known(self, words: pa.StringArray) -> np.ndarray:
+        """The numbers of words, distinct ones; new ones are looked at first."""
+        found = pc.index_in(words, value_set=self.words)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        new = words.filter(found.is_null())
+        if len(new):
+            listed, n = new.to_pylist(), len(self.words)
+            glued = {i: _parts(w) for i, w in enumerate(listed) if w[:1].isdigit() and len(_parts(w)) > 1}
+            self.words = pa.concat_arrays([self.words, new])
+            self.table = np.concatenate([self.table, np.fromiter(map(self._look, listed), _SYMBOL, len(listed))])
+            self.parts = np.concatenate([self.parts, np.stack([np.arange(n, n + len(new)), np.full(len(new), -1)], 1)])
+            at[at < 0] = np.arange(n, n + len(new))
+            if glued:
+                self._known(pc.unique(pa.array([x for p in glued.values() for x in p])))  # all of them at once
+                for i, p in glued.items():
+                    self.parts[n + i] = self._known(pa.array(p))
+        return at
+
+    def symbols(self, texts: pa.StringArray) -> Symbols:
+        if len(self.words) > MEMO:
+            self._forget()
+        lines = pc.replace_substring(pc.fill_null(texts, ""), "\n", f" {_BREAK} ")
+        split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(lines))
+        coded = split.flatten().dictionary_encode()
+        code = self._known(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy())
+        two = self.parts[code]
+        code, owner = two.ravel()[two.ravel() >= 0], np.repeat(owner, 1 + (two[:, 1] >= 0))
+        kind, named, ends, h, as_it_stands = (self.table[c][code] for c in "knehl")
+        first = np.diff(owner, prepend=-1) > 0
+        before = np.concatenate([[NOTHING], kind[:-1]])[: len(kind)]
+        opens = first | np.concatenate([[True], ends[:-1]])[: len(kind)]
+        slot = np.select([kind == NUMBER, (kind == UNIT) & (before == NUMBER) & ~first, named & ~opens & (kind != NOTHING)], [1, 2, 3], 0)
         opening = np.where((slot == 0) & named & (kind != NOTHING), 3, slot)
-        forms = [(np.where(x > 0, x.astype(np.uint64), h), x > 0) for x in (slot, np.where(slot == 3, 0, slot), opening)]
-        out, at = [], 0
-        for words in split:
-            part = slice(at, at + len(words))
-            real = kind[part] != NOTHING
-            out.append(([(x[part][real], y[part][real]) for x, y in forms], words, np.flatnonzero(real)))
-            at += len(words)
-        return out
+        real, lit = kind != NOTHING, as_it_stands != 0
+        forms = [(np.where(x > 0, x.astype(np.uint64), h)[real], x[real] > 0) for x in (slot, np.where(slot == 3, 0, slot), opening)]
+        return Symbols(self.words, code[real], owner[real], opening[real], forms, as_it_stands[lit], owner[lit])
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        if word[:1].isdigit() and (m := _GLUED.fullmatch(word.rstrip(".,;:!?"))) and m[2].lower() in UNITS:
-            return m[1], m[2] + word[m.end() :]
-        return (word,)
+
+def _parts(word: str) -> tuple[str, ...]:
+    if word[:1].isdigit() and (m := _GLUED.fullmatch(word.rstrip(".,;:!?"))) and m[2].lower() in UNITS:
+        return m[1], m[2] + word[m.end() :]
+    return (word,)
 
 
 def _roll(h: np.ndarray, width: int, seed: int) -> np.ndarray:
     n = max(0, len(h) - width + 1)
     rolled = np.full(n, seed, np.uint64)
     for k in range(width):
-        rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + h[k : n + k])
-    return rolled
-
-
-def windows(h: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window and whether at least half of it, and two words, are words."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    rolled = _roll(h, width, width)
-    total = np.concatenate([[0], np.cumsum(slot)])
-    plain = width - (total[width:] - total[:n])
-    return rolled, plain >= max(min(2, width), (width + 1) // 2)
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + h[k : n + k]
+        rolled ^= rolled >> np.uint64(29)
+    return mix(rolled)
 
 
-def literal(words: list[str]) -> np.ndarray:
-    """Hashes of the words as they stand, with numbers and operators; line breaks, outer quotes, brackets and stops are left out."""
-    bare = [b.lower() for w in words if w != _BREAK and (b := w.lstrip(_BEFORE).rstrip(_AFTER))]
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, bare), np.uint64, len(bare))
+def _each(x: np.ndarray, width: int) -> np.ndarray:
+    """How many of each window's places hold true."""
+    total = np.concatenate([[0], np.cumsum(x)])
+    return total[width:] - total[: max(0, len(x) - width + 1)]
 
 
 def _strip(w: str) -> str:
     return _EDGE.sub("", w).lower()
 
 
-def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], exact: list[int], whole: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """A row for each window (of those wanted, if given): id, text_hash, hash, pos, slots, opening (whether a word that opens a
-    sentence is a slot; only in windows of `whole` symbols, as one word more or less is much of a shorter item). exact: widths of
-    windows of the words as they stand, which have no slots."""
-
-    def among(rolled: np.ndarray) -> np.ndarray:
-        return wanted[np.minimum(np.searchsorted(wanted, rolled), len(wanted) - 1)] == rolled
-
+def _among(rolled: np.ndarray, bits: np.ndarray | None) -> np.ndarray | bool:
+    if bits is None:
+        return True
+    at = rolled >> np.uint64(64 - FILTER_BITS)
+    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def _windows(s: Symbols, widths: list[int], exact: list[int], whole: int, bits: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]], bool]]:
+    """Of windows that the filter lets pass: their hashes, texts, places, slots' kinds and values, and whether words that open
+    sentences are slots (only in windows of `whole` symbols, as one word more or less is much of a shorter item). A window counts
+    if at least half of it, and two words, are words. exact: widths of windows of the words as they stand, which have no slots."""
+    begins = np.searchsorted(s.owner, np.arange(s.owner[-1] + 1)) if len(s.owner) else np.zeros(0, np.int64)
+    for width, (form, (h, slot)) in product(widths, enumerate(s.forms)):
+        n = len(h) - width + 1
+        if n <= 0 or form == OPENING and width < whole:
+            continue
+        rolled = _roll(h, width, width)
+        good = (s.owner[:n] == s.owner[width - 1 :]) & _among(rolled, bits)
+        least = max(min(2, width), (width + 1) // 2)
+        # Openings count among the windows with names as words; two words must remain.
+        good &= width - _each(s.forms[1][1] if form == OPENING else slot, width) >= least
+        if form:  # what has no names is there already
+            good &= _each(s.forms[0][1] != slot, width) > 0
+        if form == OPENING:
+            good &= width - _each(slot, width) >= min(2, width)
+        p = np.flatnonzero(good)
+        if len(p):
+            places = p[:, None] + np.arange(width)
+            words, kinds = s.words.take(pa.array(s.code[places.ravel()])).to_pylist(), s.kind[places].ravel().tolist()
+            slots = [[f"{kinds[j]}:{_strip(words[j])}" for j in range(i * width, (i + 1) * width) if own[j - i * width]] for i, own in enumerate(slot[places].tolist())]
+            yield rolled[p], s.owner[p], p - begins[s.owner[p]], slots, form == OPENING
+    begins = np.searchsorted(s.literal_owner, np.arange(s.literal_owner[-1] + 1)) if len(s.literal_owner) else np.zeros(0, np.int64)
+    for width in exact:
+        n = len(s.literal) - width + 1
+        if n > 0:
+            rolled = _roll(s.literal, width, width + (1 << 32))
+            p = np.flatnonzero((s.literal_owner[:n] == s.literal_owner[width - 1 :]) & _among(rolled, bits))
+            yield rolled[p], s.literal_owner[p], p - begins[s.literal_owner[p]], [[]] * len(p), False
+
+
+def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], exact: list[int], whole: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """A row for each of _windows."""
     templates = Templates()
     for batch in batches:
-        ids, hashes, texts = (c.to_pylist() for c in batch.columns)
-        for a, b in chunks(texts):
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
+        size = pc.binary_length(batch.column(2)).to_numpy()
+        for a, b in stretches(size, CHUNK_BYTES):
             with np.errstate(over="ignore"):
-                for i, (forms, words, real) in zip(range(a, b), templates.symbols(texts[a:b]), strict=True):
-                    for width, (form, (h, slot)) in product(widths, enumerate(forms)):
-                        if form == OPENING and (width < whole or not (slot != forms[0][1]).any()):
-                            continue
-                        rolled, good = windows(h, slot, width)
-                        if form and len(rolled):  # what has no names is there already
-                            named = np.concatenate([[0], np.cumsum(forms[0][1] != slot)])
-                            if form == OPENING:  # counted among the windows with names as words; two words must remain
-                                total = np.concatenate([[0], np.cumsum(slot)])
-                                good = windows(*forms[1], width)[1] & (total[width:] - total[:-width] <= width - min(2, width))
-                            good &= named[width:] > named[:-width]
-                        if wanted is not None and len(rolled):
-                            good &= among(rolled)
-                        for p in np.flatnonzero(good).tolist():
-                            values = [_strip(words[real[q]]) for q in range(p, p + width) if slot[q]]
-                            for column, v in zip(rows, (ids[i], hashes[i], int(rolled[p].view(np.int64)), p, values, form == OPENING), strict=True):
-                                column.append(v)
-                    for width in exact:
-                        rolled = _roll(literal(words), width, width + (1 << 32))
-                        for p in range(len(rolled)) if wanted is None else np.flatnonzero(among(rolled)).tolist():
-                            for column, v in zip(rows, (ids[i], hashes[i], int(rolled[p].view(np.int64)), p, [], False), strict=True):
-                                column.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_()), strict=True)], names=["id", "text_hash", "hash", "pos", "slots", "opening"]
-            )
+                for rolled, owner, pos, slots, opening in _windows(templates.symbols(batch.column(2)[a:b]), widths, exact, whole, bits):
+                    at = pa.array(a + owner)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(rolled.view(np.int64)), pa.array(pos, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(np.full(len(pos), opening))],
+                        names=["id", "text_hash", "hash", "pos", "slots", "opening"],
+                    )
 
 
 _ROWS = "id long, text_hash long, hash long, pos long, slots array<string>, opening boolean"
@@ -204,19 +229,29 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
 def _length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     templates = Templates()
     for batch in batches:
-        found = templates.symbols(batch.column(2).to_pylist())
-        n = [len(forms[0][0]) for forms, _, _ in found]
-        plain = [int((~forms[1][1]).sum()) for forms, _, _ in found]
-        words = [len(literal(words)) for _, words, _ in found]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, plain, words))], names=["id", "text_hash", "n", "plain", "words"])
+        s, k = templates.symbols(batch.column(2)), batch.num_rows
+        counts = (np.bincount(s.owner, minlength=k), np.bincount(s.owner[~s.forms[1][1]], minlength=k), np.bincount(s.literal_owner, minlength=k))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, counts)], names=["id", "text_hash", "n", "plain", "words"])
+
+
+def _filter(known: DataFrame) -> np.ndarray | None:
+    """A bit for each hash's first FILTER_BITS bits; None if there is no hash. The driver gets at most 2^(FILTER_BITS - 6) numbers."""
+    places = known.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("at"))
+    words = places.groupBy(F.expr("int(at >> 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits"))
+    rows = words.toPandas()
+    if not len(rows):
+        return None
+    bits = np.zeros(1 << (FILTER_BITS - 6), "<i8")
+    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return bits.view(np.uint8)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, max_filter: int = MAX_FILTER) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, matched, n_windows, reworded, text_hash): documents that hold a benchmark item's template.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are not read. An item leaks into a document if at least
     coverage of its windows of `window` template symbols occur there, counting only alignments in which equal slot values of
-    the item have equal values in the document. In items of at least a window, names that open sentences are slots too. reworded: some slot's value differs. Windows with too few plain words are not
+    the item have equal values in the document, and its different names different ones. In items of at least a window, names that open sentences are slots too. reworded: some slot's value differs. Windows with too few plain words are not
     counted; an item that has no others is looked for by windows of its words as they stand, with numbers and operators, so that
     its copies are found (but not if it is shorter than a window and has no plain word: such a run of numbers is no item).
     Items shorter than a window are one window. Null or empty texts hold nothing and are no items; copies of a row
@@ -230,7 +265,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
         return items.join(some, items["id"].eqNullSafe(some["_id"]) & (items["text_hash"] == some["_hash"])), sorted(r["w"] for r in some.select("w").distinct().collect())
 
     def scanned(wide: DataFrame, w: int, **how) -> DataFrame:
-        return wide.where(F.col("w") == w).select("id", "text_hash", "text").mapInArrow(partial(_scan, whole=window, wanted=None, **how), _ROWS)
+        return wide.where(F.col("w") == w).select("id", "text_hash", "text").mapInArrow(partial(_scan, whole=window, bits=None, **how), _ROWS)
 
     known = docs.sparkSession.createDataFrame([], _ROWS)
     wide, widths = widths_of(lengths, "n")
@@ -246,12 +281,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
         known = settle(known, "templates")
     sizes = known.groupBy("id", "text_hash").agg(F.countDistinct("pos").alias("n_windows"))
     known = settle(known.join(sizes, ["id", "text_hash"]).select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "hash", F.col("pos").alias("at"), F.col("slots").alias("item_slots"), F.col("opening").alias("item_opening"), "n_windows"), "templates")
-    wanted = None
-    if known.count() <= max_filter:
-        wanted = np.unique(np.array([r["hash"] for r in known.select("hash").distinct().collect()], np.int64).view(np.uint64))
-        if not len(wanted):
-            return docs.sparkSession.createDataFrame([], schema)
-    seen = settle(_texts(docs, "doc_id").mapInArrow(partial(_scan, widths=widths, exact=exact, whole=window, wanted=wanted), _ROWS), "hits")
+    bits = _filter(known)
+    if bits is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    seen = settle(_texts(docs, "doc_id").mapInArrow(partial(_scan, widths=widths, exact=exact, whole=window, bits=bits), _ROWS), "hits")
     pairs = seen.withColumnRenamed("id", "doc_id").join(known, "hash")
     pairs = pairs.withColumn("filled", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
     # An alignment counts without the words that open sentences as slots, or with them: these may fit it or spoil it.
@@ -260,8 +293,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     aligned = pairs.groupBy(*key, (F.col("pos") - F.col("at")).alias("shift")).agg(
         F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("filled"))).alias("filled")
     )
-    values = F.array_distinct(F.transform("filled", lambda x: x["a"]))
-    aligned = aligned.where(F.size(values) == F.size("filled"))
+    names = F.filter("filled", lambda x: x["a"].startswith("3:"))
+    one_to_one = (F.size(F.array_distinct(F.transform("filled", lambda x: x["a"]))) == F.size("filled")) & (F.size(F.array_distinct(F.transform(names, lambda x: x["b"]))) == F.size(names))
+    aligned = aligned.where(one_to_one)
     other = F.exists("filled", lambda x: ~x["a"].eqNullSafe(x["b"]))
     found = aligned.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.max(other).alias("reworded"))
     found = found.where(F.col("matched") >= F.ceil(F.lit(coverage) * F.col("n_windows")))

@@ -1,5 +1,3 @@
-import pytest
-
 from tallyloom.llm import decontaminate as D
 
 DOCS = "doc_id long, text string, item_id long, hash string, pos int"
@@ -13,30 +11,29 @@ CASES = [
     (6, "", set(), None),
     (8, "the quick brown", {9}, False),
     (9, ITEM.upper(), {7}, None),
+    (14, "If Clara buys 99 apples for 44 dollars each and Clara sells 6 of them, how many dollars does she keep in the end? ok", {7}, True),
     (10, "99 44 12 13 55 17 1 2 3 4 5", set(), None),
 ]
 
 
-@pytest.mark.parametrize("max_filter", [1 << 20, 0])
-def test_cases(spark, max_filter):
+def test_cases(spark):
     docs = spark.createDataFrame([(i, t, 0, "", 0) for i, t, _, _ in CASES] + [(None, ITEM, 0, "", 0), (1, CASES[0][1], 0, "", 0)], DOCS)
     bench = spark.createDataFrame([(7, ITEM, 1), (9, "The quick brown", 2), (11, None, 3), (12, " ", 4), (13, "1 2 3", 5)], "item_id long, text string, pos int")
-    got = D.find_leaks(docs, bench, max_filter=max_filter).collect()
+    got = D.find_leaks(docs, bench).collect()
     for i, _, items, reworded in CASES:
         mine = [r for r in got if r["doc_id"] == i]
         assert {r["item_id"] for r in mine} == items, i
         assert reworded is None or all(r["reworded"] == reworded for r in mine)
     assert [r["item_id"] for r in got if r["doc_id"] is None] == [7]
-    left = D.drop_leaks(docs, bench, max_filter=max_filter)
+    left = D.drop_leaks(docs, bench)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {3, 4, 5, 6, 10}
 
 
-@pytest.mark.parametrize("max_filter", [1 << 20, 0])
-def test_items_without_plain_windows(spark, max_filter):
+def test_items_without_plain_windows(spark):
     items = ["What is 12 + 45 * 3 - 7?", "Compute 3 + 4 * 5 .", "Find 2, 4, 8, 16, 32, 64, 128", "2 + 2 = 4", "the 5"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     docs = spark.createDataFrame([(i, f'Some words "{q}"\nand others after it.', 0, "", 0) for i, q in enumerate(items)] + [(9, "What is 12 * 45 + 3 - 7? Compute 5 + 4 * 3 . Find 1, 2, 3, 5, 8, 13, 21", 0, "", 0)], DOCS)
-    got = D.find_leaks(docs, bench, max_filter=max_filter).collect()
+    got = D.find_leaks(docs, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(len(items))} and not any(r["reworded"] for r in got)
 
 
