@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,12 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); where it is unset, as in tests, a new one."""
+    """The folder that the cluster shares (spark.checkpoint.dir); where it is unset, as in tests, a new one.
+
+    A folder of its own is only for one machine; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -96,6 +101,51 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], count: str, sprea
     return both.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_h_{v}")).otherwise(F.col(v)).alias(v) for v in values])
 
 
+#: A bit filter has 2^FILTER_BITS bits at any number of keys, in numbers of 64: at most 2^20 rows, 16 MB.
+FILTER_BITS = 26
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores in front if df has such a column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
+def bit_filter(keys: DataFrame, hashed: Column) -> DataFrame:
+    """Settled (word, bits) of a filter of fixed size that every row of keys passes by its hash, a long."""
+    at = keys.select(F.shiftrightunsigned(hashed, 64 - FILTER_BITS).alias("at"))
+    return settle(at.groupBy(F.expr("at >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits")), "filter")
+
+
+def sift(df: DataFrame, filtered: DataFrame, hashed: Column) -> tuple[DataFrame, DataFrame]:
+    """df's rows that the filter lets pass, and the others, whose keys surely are not in it; no row is shuffled."""
+    at, word, bits = (fresh(df, x) for x in ("_at", "_word", "_bits"))
+    words = filtered.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    placed = df.withColumn(at, F.shiftrightunsigned(hashed, 64 - FILTER_BITS))
+    met = placed.join(F.broadcast(words), F.shiftright(F.col(at), 6) == F.col(word), "left")
+    passes = F.coalesce(F.expr(f"shiftrightunsigned(`{bits}`, int(`{at}` & 63)) & 1"), F.lit(0)) == 1
+    return met.where(passes).select(*df.columns), met.where(~passes).select(*df.columns)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """One hash of doc_id and text, which tell rows of documents apart."""
+    return F.xxhash64(df["doc_id"].cast("long"), F.xxhash64(df["text"].cast("string")))
+
+
+def same_row(df: DataFrame, keys: DataFrame) -> Column:
+    return df["doc_id"].cast("long").eqNullSafe(keys["_own_id"]) & (F.xxhash64(df["text"].cast("string")) == keys["_own_hash"])
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs (doc_id, text and any others) without the rows that gone (_own_id, _own_hash of the text; settled) names.
+
+    Rows that a bit filter of gone rules out are not shuffled; only the others meet gone, the same way at any size."""
+    hashed = F.xxhash64("_own_id", "_own_hash")
+    maybe, stay = sift(docs, bit_filter(gone, hashed), row_hash(docs))
+    return stay.unionByName(maybe.join(gone.hint("merge"), same_row(maybe, gone), "left_anti"))
+
+
 def crc32_text(column: str):
     """crc32 of an integer's decimal text, as zlib has it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

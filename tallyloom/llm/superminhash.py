@@ -2,9 +2,9 @@
 
 Plan: every text becomes its set of hashed word shingles in one Arrow pass, which emits the set's size, a 128-bit
 fingerprint and one key per band. Texts with equal sets collapse into a class by a partial aggregate, so groups of exact
-copies of any size cost one class. Classes that share a band key form a bucket; each is paired with one hub of its bucket, never
-all with all. Where that leaves a bucket in several components, _missed finds the pairs that could still join them. Every
-pair is confirmed on the whole sets. Shingles are compared by 64-bit hashes."""
+copies of any size cost one class. Classes that share a band key form a bucket; each is paired with one hub of its bucket, its
+most central member, never all with all. Where that leaves a bucket in several components, _missed finds the pairs that could
+still join them. Every pair is confirmed on the whole sets, inside the JVM. Shingles are compared by 64-bit hashes."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, release, settle
+from .common import bit_filter, lookup, release, row_hash, same_row, settle, sift, without
 from .components import components
 
 #: Bands x rows a band = length of the signature. At a similarity of 0.8 a pair shares none of 32 bands of 4 rows with
@@ -140,66 +140,63 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: in
             )
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    shingler, last, last_set = Shingler(width), None, None
-    for batch in batches:
-        hub, node, hub_text, text = (c.to_pylist() for c in batch.columns)
-        good: list[int] = []
-        for start, end in chunks(text):
-            with np.errstate(over="ignore"):
-                for i, s in zip(range(start, end), shingler.sets(text[start:end]), strict=True):
-                    if hub_text[i] != last:
-                        last, last_set = hub_text[i], shingler.sets([hub_text[i]])[0]
-                    if similar(last_set, s, percent):
-                        good.append(i)
-        yield pa.RecordBatch.from_pydict({"a": pa.array([hub[i] for i in good], pa.int64()), "b": pa.array([node[i] for i in good], pa.int64())})
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs (hub, node) whose texts' full shingle sets are similar; settled (a, b)."""
-    joined = pairs.join(texts.select(F.col("node"), F.col("text")), "node").join(
-        texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub"
-    )
-    rows = joined.select("hub", "node", "hub_text", "text")
-    return settle(rows.mapInArrow(partial(_confirm, width=width, percent=percent), "a long, b long"), "confirmed")
-
-
-def _near(percent: int):
-    return F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
-
-
 def _tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(width)
     for batch in batches:
-        texts = batch.column(2).to_pylist()
+        texts = batch.column(1).to_pylist()
         for a, b in chunks(texts):
             with np.errstate(over="ignore"):
                 sets = shingler.sets(texts[a:b])
             ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             flat = pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["node", "comp", "n", "tokens"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(ends, flat)], names=["node", "tokens"])
 
 
-def _missed(members: DataFrame, texts: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
+def full_sets(source: DataFrame, kinds: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Settled (node, tokens): the whole shingle set of each class that wanted (node) names, of one of its texts.
+
+    Texts of other rows are not shuffled: a bit filter rules them out."""
+    rows = kinds.join(wanted, "node").select("node", F.col("own.doc_id").alias("_own_id"), F.col("own.text_hash").alias("_own_hash"))
+    rows = settle(rows, "wanted")
+    near, _ = sift(source, bit_filter(rows, F.xxhash64("_own_id", "_own_hash")), row_hash(source))
+    texts = near.join(rows.hint("merge"), same_row(near, rows)).select("node", "text").dropDuplicates(["node"])
+    return settle(texts.mapInArrow(partial(_tokens, width=width), "node long, tokens array<long>"), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (hub, node) whose full shingle sets are similar; settled (a, b)."""
+    own, other = sets.select("node", F.col("tokens").alias("own")), sets.select(F.col("node").alias("hub"), F.col("tokens").alias("other"))
+    joined = pairs.hint("merge").join(own, "node").join(other.hint("merge"), "hub")
+    both = F.size(F.array_intersect("own", "other"))
+    return settle(joined.where(100 * both >= percent * (F.size("own") + F.size("other") - both)).select(F.col("hub").alias("a"), F.col("node").alias("b")), "confirmed")
+
+
+def _near(percent: int):
+    return F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
+
+
+def hubs_of(members: DataFrame) -> DataFrame:
+    """(bucket, hub, hub_n) of members (node, n, bucket, size): the bucket's most central member.
+
+    That is the one with the most bucket mates in all: in a family of near copies this is a text with few changes, to which most
+    others are similar, so that little is left for _missed. Ties go by hash."""
+    mates = members.groupBy("node").agg(F.sum("size").alias("mates"))
+    order = F.struct(-F.col("mates"), F.xxhash64("node"))
+    return members.join(mates, "node").groupBy("bucket").agg(F.min_by(F.struct("node", "n"), order).alias("h")).select("bucket", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+
+
+def _missed(rest: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, node) of different components that could still be linked, for buckets that hold several components.
 
     An exact prefix filter over the members of such buckets: shingles are ordered from rare to common; two sets of sizes
     n and m with an overlap of o = percent / (100 + percent) * (n + m) at least share a shingle among the first n - o + 1 and
     m - o + 1 of theirs. In a family of many near copies these are the places where a text differs from the family, so the
     few that are in no component meet those with the same changes, not the whole family."""
-    now = members.join(comp, "node", "left").select("bucket", "node", F.coalesce("component_id", "node").alias("comp"))
+    now = rest.join(comp, "node", "left").select("bucket", "node", F.coalesce("component_id", "node").alias("comp"))
     now = settle(now, "members")
-    ends = settle(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"), "open")
-    still = settle(now.join(ends, "bucket").select("node", "comp").distinct(), "open-members")
-    read = still.join(texts, "node").select("node", "comp", "text").mapInArrow(partial(_tokens, width=width), "node long, comp long, n long, tokens array<long>")
-    each = settle(read.select("node", "comp", "n", F.explode("tokens").alias("token")), "tokens")
+    ends = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    still = settle(now.join(ends, "bucket").select("node", "comp").distinct(), "open")
+    each = settle(still.join(sets, "node").select("node", "comp", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token")), "tokens")
     often = settle(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
     # A shingle that no other text has stands first and can't match: only its place counts.
     ranked = each.join(often, "token", "left").withColumn("at", F.row_number().over(Window.partitionBy("node", "n", "comp").orderBy(F.coalesce("df", F.lit(1)), "token")) - 1)
@@ -208,7 +205,7 @@ def _missed(members: DataFrame, texts: DataFrame, comp: DataFrame, width: int, p
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("hub_n")) / F.lit(100.0 + percent) - 1e-9)
     meet = (F.col("node") > F.col("hub")) & (F.col("comp") != F.col("hub_comp")) & _near(percent) & (F.col("n") - F.col("at") >= need) & (F.col("hub_n") - F.col("hub_at") >= need)
     pairs = settle(front.join(other, (front["token"] == other["token"]) & meet).select("hub", "node").distinct(), "pairs")
-    release(now, each, often, front)
+    release(now, still, each, often, front)
     return pairs
 
 
@@ -218,40 +215,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     Documents are linked if their sets of distinct shingles of width words have 100 * intersection >= percent *
     union; component_id is the smallest doc_id that links reach, kept = it is the document's own.
     - Null, empty or blank text: n_shingles 0, its own component, kept. Fewer than width words: one shingle of all.
-    - Rows that share a doc_id count as one document that has several texts; each row is returned, with its own n_shingles.
-    - A null doc_id is linked like any other class of texts but never is the smallest of one that has ids; alone, its
-      component_id is null and it is kept.
+    - Rows that share a doc_id are rows of their own, each linked by its text; the smallest doc_id stands for all of them.
+    - A null doc_id is linked like any other but never is the smallest of a component that has ids; without any, the
+      component_id is null and its rows are kept.
     - An empty table gives an empty result; texts of any length are read whole."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, text_hash long, n_shingles long, fp1 long, fp2 long, bands array<long>"
     profile = settle(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_profile, width=width, bands=bands, rows=rows), schema), "profile")
     full = profile.where("n_shingles > 0")
+    own = F.struct("doc_id", "text_hash")
     kinds = full.groupBy("fp1", "fp2").agg(
-        F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_docs"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("doc_id"), F.min(own).alias("own"), F.count(F.lit(1)).alias("n_docs"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
-    kinds = settle(kinds, "classes")
-    keyed = kinds.where("node is not null").select("node", "n", F.explode("bands").alias("bucket"))
-    order = F.xxhash64("node")
-    hubs = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", order).alias("hub"), F.min_by("n", order).alias("hub_n"))
-    hubs = settle(hubs.where("size > 1"), "hubs")
-    members = settle(keyed.join(hubs, "bucket"), "members")
-    pairs = settle(members.where((F.col("node") != F.col("hub")) & _near(percent)).select("hub", "node").distinct(), "pairs")
-    wanted = settle(members.select("node").distinct(), "wanted")
-    texts = settle(source.withColumnRenamed("doc_id", "node").join(wanted, "node"), "texts")
-    links = confirm(pairs, texts, width, percent)
-    rest = members.where((F.col("size") > 2) & (F.col("node") != F.col("hub"))).select("bucket", "node")
+    kinds = settle(kinds.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so that numbers stay
+    keyed = kinds.select("node", "n", F.explode("bands").alias("bucket"))
+    sizes = settle(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    members = settle(keyed.join(sizes, "bucket"), "members")
+    met = settle(members.join(settle(hubs_of(members), "hubs"), "bucket").where(F.col("node") != F.col("hub")), "met")
+    pairs = settle(met.where(_near(percent)).select("hub", "node").distinct(), "pairs")
+    sets = full_sets(source, kinds, members.select("node").distinct(), width)
+    links = confirm(pairs, sets, percent)
     comp = components(links)
-    more = confirm(_missed(rest, texts, comp, width, percent), texts, width, percent)
+    missed = _missed(met.where("size > 2").select("bucket", "node"), sets, comp, percent)
+    more = confirm(missed, sets, percent)
     if not more.isEmpty():
         comp = components(links.unionByName(more))
-    release(members, texts)
-    named = settle(
-        kinds.drop("bands", "n").join(comp, "node", "left").select("fp1", "fp2", "n_docs", F.coalesce("component_id", "node").alias("component_id")),
-        "named",
-    )
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    rooted = kinds.select("fp1", "fp2", "doc_id", "n_docs", "node").join(comp, "node", "left").withColumn("root", F.coalesce("component_id", "node"))
+    least = rooted.where("component_id is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    named = rooted.join(least, "root", "left").select("fp1", "fp2", "n_docs", F.coalesce("least", "doc_id").alias("component_id"))
+    named = settle(named, "named")
+    release(sizes, members, met, pairs, missed, sets, links, more, kinds)
+    mine = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     found = lookup(profile.drop("bands"), named, ["fp1", "fp2"], "n_docs", F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
+    return found.select("doc_id", "n_shingles", mine.alias("component_id"), mine.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -265,11 +261,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     kept = found.where("kept").groupBy(*group, "doc_id", "text_hash").count()
     many = kept.groupBy("none", "own").agg(F.sum("count").alias("n")).where("n > 1")
     rows = settle(kept.join(many, ["none", "own"]).select(*key).distinct().withColumn("_again", F.lit(True)).unionByName(gone.withColumn("_again", F.lit(False))), "not-as-is")
-    same = docs["doc_id"].cast("long").eqNullSafe(rows["_own_id"]) & (F.xxhash64(docs["text"].cast("string")) == rows["_own_hash"])
-    single = docs.join(rows, same, "left_anti")
-    again = rows.where("_again")
+    single, again = without(docs, rows), rows.where("_again")
     if again.isEmpty():
         return single
-    whole = docs.join(again, same).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce("_own_id", "_own_hash").alias("own"), F.col("_own_id").isNull().alias("none"))
+    near, _ = sift(docs, bit_filter(again, F.xxhash64("_own_id", "_own_hash")), row_hash(docs))
+    packed = near.select(F.struct(*[near[c] for c in docs.columns]).alias("row"), near["doc_id"].cast("long").alias("id"), F.xxhash64(near["text"].cast("string")).alias("hash"))
+    whole = packed.join(again, F.col("id").eqNullSafe(F.col("_own_id")) & (F.col("hash") == F.col("_own_hash")))
+    whole = whole.select("row", F.coalesce("id", "hash").alias("own"), F.col("id").isNull().alias("none"))
     first = whole.groupBy("own", "none").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
     return single.unionByName(first.select("row.*"))
