@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, without
 from .superminhash import mix, stretches
 
 WINDOW, COVERAGE = 5, 0.8
@@ -307,4 +307,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the rows into which a benchmark item leaked; all columns stay."""
     bad = settle(find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_own_id"), F.col("text_hash").alias("_own_hash")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_own_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["_own_hash"]), "left_anti")
+    return without(docs, bad)

@@ -12,7 +12,7 @@ from math import gcd, isqrt, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, lookup, settle
+from .common import WORD_CLASS, fresh, lookup, settle
 
 #: Sources in code-point order weigh these, repeating.
 WEIGHTS = (5, 2, 1)
@@ -108,9 +108,10 @@ def schedule(planned: DataFrame, n: int) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of docs (doc_id, text, source; others are not read).
+    """(doc_id, size, source_size, target, taken, slots, lo) for each row of docs (doc_id, text, source; others are not read).
 
-    size: words of the text (null: 0); taken: words that the mix takes of it, repeats counted. A source's taken words add
+    size: words of the text (null: 0); taken: words that the mix takes of it, repeats counted; slots: where in the mix the block
+    comes in which it begins, ascending, null if nowhere; lo: words before it in its source. A source's taken words add
     up to its rounded target; the last of its slots is trimmed. Null is a source of its own, the last. Documents
     without words take part with 0. Rows that share a doc_id stay rows of their own. Order within a source is by a hash
     of doc_id, so reruns agree. Empty table: empty result."""
@@ -119,7 +120,7 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tupl
     sizes = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size")), "sizes")
     n_docs = sizes.count()
     if not n_docs:
-        return spark.createDataFrame([], "doc_id long, size long, source_size long, target double, taken long")
+        return spark.createDataFrame([], "doc_id long, size long, source_size long, target double, taken long, slots array<long>, lo long")
     planned, n = plan_sources(targets(sizes, weights, share, most), block_words)
     planned = settle(planned, "planned")
     placed = lookup(sizes, planned.drop("first_slot", "quota"), ["source"], "n_docs", F.col("doc_id")).drop("source")
@@ -131,12 +132,14 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tupl
     ordered = placed.withColumn("hi", F.sum("size").over(within)).join(settle(bases, "bases"), ["sid", "bucket"])
     ordered = ordered.withColumn("hi", F.col("hi") + F.col("base")).withColumn("lo", F.col("hi") - F.col("size"))
     kept = settle(ordered.select("doc_id", "size", "source_size", "target", "sid", "n_blocks", "want", "lo", "hi"), "streams")
-    none = kept.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    shown = ["doc_id", "size", "source_size", "target"]
+    none = kept if not n else kept.where("size = 0")
+    none = none.select(*shown, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("array<long>").alias("slots"), "lo")
     if not n:
-        return none.unionByName(kept.where("size > 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
+        return none
     block = lambda x: f"({_wide(f'{x} + 1')} * n_blocks - 1) DIV source_size"
     pieces = kept.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence({block('lo')}, {block('hi - 1')})")))
-    drawn = schedule(planned, n).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("draws"))
+    drawn = schedule(planned, n).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("draws"), F.sort_array(F.collect_list("slot")).alias("slots"))  # at most 1 + `most` of them
     pieces = pieces.join(settle(drawn, "drawn"), ["sid", "block"], "left")
     pieces = pieces.withColumn("b_lo", F.expr(f"({_wide('block')} * source_size) DIV n_blocks")).withColumn("b_hi", F.expr(f"({_wide('block + 1')} * source_size) DIV n_blocks"))
     # A block drawn so often is taken once less if its last draw is where the source reaches `want`, then as far as that.
@@ -144,15 +147,29 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tupl
     whole = F.least("hi", "b_hi") - F.greatest("lo", "b_lo")
     last = F.greatest(F.lit(0), F.least(F.col("hi"), F.col("b_hi"), end) - F.greatest("lo", "b_lo"))
     took = F.when(F.col("draws").isNull(), F.lit(0)).otherwise((F.col("draws") - 1) * whole + last)
-    some = pieces.withColumn("took", took).groupBy("sid", "lo", "doc_id", "size", "source_size", "target").agg(F.sum("took").alias("taken"))
-    return none.unionByName(some.select("doc_id", "size", "source_size", "target", "taken"))
+    # A row of its own is told by its place in its source.
+    some = pieces.withColumn("took", took).groupBy("sid", "lo", *shown).agg(F.sum("took").alias("taken"), F.min_by("slots", "block").alias("slots"))
+    return none.unionByName(some.select(*none.columns))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix holds them: each row as often (0 to 2 times) as the words taken of it make whole copies, rounded.
-
-    All columns stay. Rows that share a doc_id share their count; documents without words are not in a mix."""
-    taken = mix_documents(docs, **options).groupBy(F.col("doc_id").alias("_own_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = settle(taken.where("size > 0").select("_own_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0"), "copies")
-    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies["_own_id"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    """docs as the mix holds them: each row as often (0 to 2 times) as the words taken of it make whole copies, rounded, in the
+    order of the schedule's slots.
+
+    A document that alone fills its source's target has one copy at least. All columns stay, whatever their names. Rows that share
+    a doc_id share their count and places; a null doc_id is one of them. Documents without words (null text too) are not in a mix.
+    Empty table: empty result. The text is shuffled twice, to meet its places and into their order."""
+    found = mix_documents(docs, **options).where("size > 0")
+    taken = found.groupBy(F.col("doc_id").alias("_own_id")).agg(
+        F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.max(F.col("taken") >= F.greatest(F.lit(1), F.round("target"))).alias("alone"), F.min(F.when(F.col("slots").isNotNull(), F.struct("slots", "lo"))).alias("at")
+    )
+    copies = F.greatest(F.round(F.col("taken") / F.col("size")).cast("int"), F.col("alone").cast("int"))
+    slot = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: F.coalesce(F.get("at.slots", k), F.element_at("at.slots", -1)))
+    placed = settle(taken.withColumn("copies", copies).where("copies > 0").select("_own_id", slot.alias("_slots"), F.col("at.lo").alias("_lo")), "places")
+    names = {c: fresh(docs, c) for c in ("_own_id", "_slots", "_lo")}
+    placed = placed.withColumnsRenamed(names)
+    own, slots, lo = names.values()
+    joined = docs.join(placed.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(placed[own]))
+    at = fresh(docs, "_slot")
+    rows = joined.select(*[docs[c] for c in docs.columns], F.explode(slots).alias(at), lo)
+    return rows.repartitionByRange(at, lo).sortWithinPartitions(at, lo).select(*docs.columns)

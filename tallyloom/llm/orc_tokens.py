@@ -141,15 +141,21 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
             done += len(ids)
 
 
-def write_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, stripe_bytes: int = 64 << 20, stride: int = 2000) -> None:
-    """Encode docs (doc_id, text; other columns are not read) and write them in ascending doc_id order.
+def write_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, stripe_bytes: int = 64 << 20, stride: int = 2000, as_stored: bool = False) -> None:
+    """Encode docs (doc_id, text; other columns are not read) and write them in ascending doc_id order, or as_stored: in the order
+    of the Parquet files that docs is read from, by their numbers, and of the rows in them.
 
-    The text, which is smaller than its ids, is what gets shuffled: once, by ranges of doc_id. ORC codes the ids with
+    The text, which is smaller than its ids, is what gets shuffled: once, by ranges. ORC codes the ids with
     integer run lengths; a stripe's index entries (every stride rows) hold the range of doc_id and a Bloom filter, so a
     reader looking for some documents skips whole stripes and strides.
     Null text counts as empty (one id, the end); a null doc_id sorts first; rows that share a doc_id are ordered by text."""
+    order = ["doc_id", "text"]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    if as_stored:
+        file, order = F.col("_metadata.file_name"), ["number", "file", "row"]
+        number = F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("int")
+        source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), number.alias("number"), file.alias("file"), F.col("_metadata.row_index").alias("row"))
+    dealt = source.repartitionByRange(*order[:1] if not as_stored else order).sortWithinPartitions(*order).select("doc_id", "text")
     coded = dealt.mapInArrow(partial(_encode, path=tokenizer_path, end_id=end_id), FILE_SCHEMA)
     coded.write.options(
         **{
@@ -189,9 +195,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(partial(_digest, base=base), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, as_stored: bool = False) -> DataFrame:
     """Write docs as ORC into the shared folder and return the digests of what is read back. Empty in, empty out."""
     spark = docs.sparkSession
     path = new_path(spark, "tokens-orc")
-    write_orc(docs, path, tokenizer_path, end_id)
+    write_orc(docs, path, tokenizer_path, end_id, as_stored=as_stored)
     return digests(spark, path)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, settle
+from .common import lookup, release, settle, without
 from .superminhash import chunks
 
 #: At most so many labelled documents, the first by a hash of doc_id, are used to fit the model.
@@ -104,8 +104,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
     )
     seen = settle(source.mapInArrow(_features, "doc_id long, host string, path string, text_hash long, x array<double>"), "features")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null")
-    sample = seen.join(known, "doc_id").select("x", "y", F.xxhash64("doc_id").alias("h"), "text_hash").orderBy("h", "text_hash").limit(max_train)
+    # The share of rows that is about to be the sample is found by a count, so that no task sends the driver more than its part.
+    joined = seen.join(known, "doc_id").groupBy("doc_id", "text_hash").agg(F.first("x").alias("x"), F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id", "text_hash"))
+    joined = settle(joined, "labelled")
+    share = min(1.0, 1.2 * max_train / max(1, joined.count()))
+    sample = joined.where(F.col("h") <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63)))).orderBy("h", "doc_id").limit(max_train)
     rows = sample.select("x", "y").toPandas()
+    release(joined)
     w = fit(np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, N_FEATURES)), rows["y"].to_numpy())
     base = float(np.clip(rows["y"].mean(), 1e-3, 1 - 1e-3)) if len(rows) else 0.5
     evidence = sum((F.col("x")[i] * float(v) for i, v in enumerate(w)), F.lit(0.0))
@@ -139,5 +144,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the rows that score_documents rejects; all columns stay."""
     bad = score_documents(docs, labels, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_own_id"), F.col("text_hash").alias("_own_hash")).distinct()
-    bad = settle(bad, "rejected")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_own_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["_own_hash"]), "left_anti")
+    return without(docs, settle(bad, "rejected"))

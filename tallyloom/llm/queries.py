@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontaminate, gif, mincut, mixing, orc_tokens, quality, superminhash, toxicity, warc
 from .common import table
@@ -45,7 +46,9 @@ def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+    """slots: where in the mix the document's first block comes; first_slot the first of these places."""
+    found = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", F.get("slots", F.lit(0)).alias("first_slot"), "slots")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

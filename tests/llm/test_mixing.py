@@ -68,4 +68,75 @@ def test_schedule_is_a_spread_permutation(spark):
 def test_empty_and_wordless(spark):
     assert M.mix_documents(spark.createDataFrame([], DOCS)).collect() == []
     got = M.mix_documents(spark.createDataFrame([(1, None, None, "", 0), (None, "", "s", "", 0)], DOCS)).collect()
-    assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 0, 0.0, 0), (None, 0, 0, 0.0, 0)], key=str)
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 0, 0.0, 0, None, 0), (None, 0, 0, 0.0, 0, None, 0)], key=str)
+
+
+def brute_mix(rows, block):
+    """taken and slots of each row, by walking the mix slot by slot; rows (doc_id, size, source) in the order of each source's stream."""
+    by, out = defaultdict(list), {}
+    for i, n, source in rows:
+        by[source].append((i, n))
+    names = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    total = {s: sum(n for _, n in by[s]) for s in names}
+    goal = brute_targets(total)
+    n_blocks = {s: max(1, int(total[s] / block + 0.5)) for s in names}
+    want = {s: int(goal[s] + 0.5) for s in names}
+    quota = {s: want[s] // total[s] * n_blocks[s] + -(-(want[s] % total[s] * n_blocks[s]) // total[s]) for s in names}
+    n = sum(quota.values())
+    owner = [s for s in names for _ in range(quota[s])]
+    step, used = M.golden_step(n), defaultdict(int)
+    taken, slots, left = defaultdict(int), defaultdict(list), dict(want)
+    for slot in range(n):
+        s = owner[slot * step % n]
+        k = used[s] % n_blocks[s]
+        used[s] += 1
+        lo, hi, at = k * total[s] // n_blocks[s], (k + 1) * total[s] // n_blocks[s], 0
+        hi = min(hi, lo + left[s])
+        left[s] -= max(0, hi - lo)
+        for i, size in by[s]:
+            taken[i] += max(0, min(hi, at + size) - max(lo, at))
+            if lo <= at < (k + 1) * total[s] // n_blocks[s]:
+                slots[i].append(slot)
+            at += size
+    return taken, slots
+
+
+def test_same_as_walking_the_mix(spark):
+    sizes = [((i * 37) % 90 + 1 + (3000 if i == 5 else 0), ["big", "big", "b", "ä", None, "z"][i % 6]) for i in range(150)]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s, "", 0) for i, (n, s) in enumerate(sizes)], DOCS)
+    got = M.mix_documents(docs, block_words=64).collect()
+    order = [(r["doc_id"], r["size"], sizes[r["doc_id"]][1]) for r in sorted(got, key=lambda r: r["lo"])]
+    taken, slots = brute_mix(order, 64)
+    for r in got:
+        assert r["taken"] == taken[r["doc_id"]] and (r["slots"] or []) == slots[r["doc_id"]]
+
+
+def test_the_lattice_makes_the_order(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * 50, "abc"[i % 3], "", 0) for i in range(90)], DOCS)
+    slots = lambda: {r["doc_id"]: r["slots"] for r in M.mix_documents(docs, block_words=100).collect()}
+    spread = slots()
+    monkeypatch.setattr(M, "golden_step", lambda n: 1)
+    assert slots() != spread
+
+
+def test_mix_of_repeated_rows_and_odd_columns(spark):
+    """Repeated rows, a shared doc_id, a null one, a very long text, columns named as the operator's own."""
+    schema = "doc_id long, text string, source string, _copy string, _own_id int, slots string, _Slots int, _lo string"
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, "x " * 30, "s"), (2, "y " * 10, "t"), (None, "q " * 20, "t"), (3, "w " * 200_000, "long"), (4, None, "s"), (5, " ", None)]
+    docs = spark.createDataFrame([(*r, "c", 7, "d", 8, "e") for r in rows], schema)
+    assert sum(r["taken"] for r in M.mix_documents(docs).collect()) > 0
+    got = M.mixed(docs)
+    assert got.columns == docs.columns
+    found = got.collect()
+    assert all(tuple(r)[3:] == ("c", 7, "d", 8, "e") for r in found) and {r["doc_id"] for r in found} >= {3, None} and not {4, 5} & {r["doc_id"] for r in found}
+    assert M.mixed(docs.limit(0)).collect() == []
+
+
+def test_the_mix_lies_in_the_order_of_slots(spark):
+    docs = spark.createDataFrame([(i, "w " * 50, "abc"[i % 3], "", 0) for i in range(300)], DOCS)
+    at = {r["doc_id"]: r["slots"] for r in M.mix_documents(docs, block_words=100).collect()}
+    seen, places = defaultdict(int), []
+    for r in M.mixed(docs, block_words=100).collect():
+        places.append(at[r["doc_id"]][seen[r["doc_id"]]])
+        seen[r["doc_id"]] += 1
+    assert len(places) > 400 and places == sorted(places)
