@@ -17,23 +17,28 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the rows whose quality score is too low; null texts are scored as empty ones, an empty table stays empty."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that with the smallest doc_id; rows without words stay, repeated ones once."""
     return superminhash.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the rows that hold a benchmark item; null and empty texts hold none."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs in the order of the mix, each row 0 to 2 times; rows without words are not in it."""
     return mixing.mixed(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return orc_tokens.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Digests of the token files, which hold docs in the order in which they are stored, that of the mix."""
+    return orc_tokens.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), as_stored=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
