@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.numbering import numbered
 from .model import MAX_GROUPS, VALUELESS, Condition, CustomEvent, FilterGroup, Segmentation
 
 DECIMAL = T.DecimalType(28, 16)
@@ -133,8 +134,5 @@ class Catalog:
 
 
 def build_dictionary(df: DataFrame, column: str) -> DataFrame:
-    """(value, key): keys of the distinct values, from 1 in the order of values.
-
-    A dictionary has few values by its nature (that is when one pays), so the one window over them is small."""
-    values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
-    return values.select("value", F.row_number().over(Window.orderBy("value")).cast("long").alias("key"))
+    """(value, key): keys of the distinct values, from 1 in the order of values, by a sort over all tasks."""
+    return numbered(df.select(F.col(column).alias("value")).where("value is not null").distinct(), ["value"], 1, "key")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from datetime import datetime
 from functools import reduce
 from operator import and_, or_
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..model import Condition, EventRef, Filter, FilterGroup, TimeRange
+from .buckets import instant
 
 _COMPARE: dict[str, Callable[[Column, object], Column]] = {
     "neq": lambda c, v: c != v, "gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v,
@@ -43,9 +45,10 @@ def filter_column(f: Filter, catalog: Catalog) -> Column:
         return c.isNull()
     if f.op == "exists":
         return c.isNotNull()
+    values = [instant(v) if isinstance(v, datetime) else v for v in f.values]
     if f.op == "eq":
-        return c.isin(*f.values) if len(f.values) > 1 else c == f.values[0]
-    parts = [_COMPARE[f.op](c, v) for v in f.values]
+        return c.isin(*values) if len(values) > 1 else c == values[0]
+    parts = [_COMPARE[f.op](c, v) for v in values]
     return all_of(parts) if f.strict_negation and f.op in NEGATED else any_of(parts)
 
 
@@ -67,7 +70,7 @@ def event_column(e: EventRef, catalog: Catalog) -> Column:
 def time_column(t: TimeRange, column: str = "created_at") -> Column:
     parts = []
     if t.start is not None:
-        parts.append(F.col(column) >= F.lit(t.start).cast("timestamp_ntz"))
+        parts.append(F.col(column) >= instant(t.start))
     if t.end is not None:
-        parts.append(F.col(column) <= F.lit(t.end).cast("timestamp_ntz"))
+        parts.append(F.col(column) <= instant(t.end))
     return all_of(parts)

@@ -93,8 +93,11 @@ class CountPerGroup:
 
 @dataclass(frozen=True)
 class AggregateProperty:
+    """approximate: medians, percentiles and distinct counts by sketches of bounded size."""
+
     prop: str
     agg: WideAgg
+    approximate: bool = False
 
 
 @dataclass(frozen=True)
@@ -213,6 +216,7 @@ class Segmentation:
     analysis: Literal["linear", "rolling_average", "logarithmic", "cumulative"] = "linear"
     window: int = 2  # of the rolling average
     compare: tuple[int, Unit] | None = None  # offset in units
+    chart_type: Literal["line", "column", "pie"] = "line"
 
 
 @dataclass(frozen=True)
@@ -251,6 +255,8 @@ class Funnel:
     group: str = "group_0"
     project_id: int = 1
     session_gap: timedelta | None = None  # attempts then stay within a session
+    least: timedelta | None = None  # bounds of the chart of times to convert
+    most: timedelta | None = None
 
     def __post_init__(self):
         if not 1 <= len(self.steps) <= 5:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
-from ..functions.buckets import bucket
+from ..functions.buckets import bucket, from_micros, instant, micros
 from ..functions.predicates import any_of, conditions, event_column, time_column
 from ..model import Funnel
 
@@ -25,10 +25,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
-
-
 def attempts(events: DataFrame, f: Funnel, catalog: Catalog) -> DataFrame:
     """(group, breakdowns..., n, st): each counted attempt, n its steps, st their (t in microseconds, b breakdown values)."""
     base = events.where((F.col("project_id") == f.project_id) & time_column(f.time) & conditions(f.filters, catalog) & F.col(f.group).isNotNull())
@@ -40,12 +36,12 @@ def attempts(events: DataFrame, f: Funnel, catalog: Catalog) -> DataFrame:
     if f.count == "session" or f.session_gap is not None:
         order = Window.partitionBy(f.group).orderBy("created_at", "event_id")
         gap = int((f.session_gap.total_seconds() if f.session_gap else 1800) * 1e6)
-        new = F.coalesce((_micros(F.col("created_at")) - F.lag(_micros(F.col("created_at"))).over(order)) > gap, F.lit(True)).cast("int")
+        new = F.coalesce((micros(F.col("created_at")) - F.lag(micros(F.col("created_at"))).over(order)) > gap, F.lit(True)).cast("int")
         base = base.withColumn("_new", new).withColumn("_session", F.sum("_new").over(order))
     if not f.constants:  # other rows can't change an attempt
         base = base.where(any_of([*steps, *stops]))
     row = F.struct(
-        _micros(F.col("created_at")).alias("t"), F.col("event_id").alias("id"), yes(steps).alias("f"), yes(stops).alias("x"), text(f.constants).alias("c"),
+        micros(F.col("created_at")).alias("t"), F.col("event_id").alias("id"), yes(steps).alias("f"), yes(stops).alias("x"), text(f.constants).alias("c"),
         text(f.breakdowns if f.touch != "row" else ()).alias("b"),
     )
     keys = [F.col(f.group), *[F.col(f"`{catalog.column(b)}`").alias(b) for b in by], *([F.col("_session")] if "_session" in base.columns else [])]
@@ -121,8 +117,8 @@ def report(found: DataFrame, f: Funnel) -> DataFrame:
     total, conversion_ratio, drop_off_ratio in percent of the first step; times in milliseconds."""
     n, by = len(f.steps), list(f.breakdowns)
     over_time = f.chart in ("over_time", "time_to_convert")
-    first = F.timestamp_micros(F.get("st", F.lit(0))["t"]).cast("timestamp_ntz")
-    at = bucket(first, f.unit) if over_time else F.lit(f.time.start).cast("timestamp_ntz")
+    first = from_micros(F.get("st", F.lit(0))["t"])
+    at = bucket(first, f.unit) if over_time else instant(f.time.start)
     t = lambda i: F.get("st", F.lit(i))["t"]
     sums = []
     for i in range(n):
@@ -141,14 +137,18 @@ def report(found: DataFrame, f: Funnel) -> DataFrame:
 
 
 def histogram(found: DataFrame, f: Funnel, width_ms: int) -> DataFrame:
-    """(bin, total): completed attempts by whole multiples of width_ms from first to last step."""
+    """(breakdowns..., bin, total): completed attempts by whole multiples of width_ms from first to last step, of those that took
+    at least f.least and at most f.most, if given."""
     took = F.element_at("st", -1)["t"] - F.get("st", F.lit(0))["t"]
-    return found.where(F.col("n") == len(f.steps)).groupBy(F.floor(took / (width_ms * 1000)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("total"))
+    done = found.where(F.col("n") == len(f.steps))
+    if f.least is not None:
+        done = done.where(took >= int(f.least.total_seconds() * 1e6))
+    if f.most is not None:
+        done = done.where(took <= int(f.most.total_seconds() * 1e6))
+    return done.groupBy(*f.breakdowns, F.floor(took / (width_ms * 1000)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("total"))
 
 
 def frequency(found: DataFrame, f: Funnel) -> DataFrame:
-    """(times, users): how many users completed the funnel so often."""
-    each = found.where(F.col("n") == len(f.steps)).groupBy(f.group).agg(F.count(F.lit(1)).alias("times"))
-    return each.groupBy("times").agg(F.count(F.lit(1)).alias("users"))
-
-
+    """(breakdowns..., times, users): how many users completed the funnel so often."""
+    each = found.where(F.col("n") == len(f.steps)).groupBy(f.group, *f.breakdowns).agg(F.count(F.lit(1)).alias("times"))
+    return each.groupBy(*f.breakdowns, "times").agg(F.count(F.lit(1)).alias("users"))

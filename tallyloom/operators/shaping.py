@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import DECIMAL
-from ..functions.buckets import LABEL, bucket_list, shift
+from ..functions.buckets import LABEL, bucket, bucket_list, instant, shift
 from ..model import TimeRange, Unit
 
 
@@ -76,9 +77,22 @@ def append(parts: Sequence[tuple[str, DataFrame]], name: str = "event") -> DataF
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (add_string(df, name, n) for n, df in parts))
 
 
-def analyse(df: DataFrame, how: str, value: str, series: Sequence[str], window: int = 2, time: str = "bucket") -> DataFrame:
-    """value as a cumulative sum, rolling average over window rows, natural logarithm (of positive values), or as it is."""
+def dense(df: DataFrame, value: str, series: Sequence[str], buckets: Sequence[datetime], time: str = "bucket") -> DataFrame:
+    """A row for each series and bucket; buckets that had none have the value 0."""
+    each = df.select(*series).distinct().withColumn(time, F.explode(F.array(*[instant(t) for t in buckets])))
+    names = {c: f"_s_{c}" for c in (*series, time)}
+    known = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], value)
+    on = reduce(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(F.col(f"`{n}`")) for c, n in names.items()))
+    return each.join(known, on, "left").select(*[c if c != value else F.coalesce(value, F.lit(0)).alias(value) for c in df.columns])
+
+
+def analyse(df: DataFrame, how: str, value: str, series: Sequence[str], buckets: Sequence[datetime], window: int = 2, time: str = "bucket") -> DataFrame:
+    """value as a cumulative sum, rolling average over window buckets, natural logarithm (of positive values), or as it is.
+
+    Sums and averages run over all buckets, of which those without a row count as 0."""
     order = Window.partitionBy(*series).orderBy(time)
+    if how in ("cumulative", "rolling_average"):
+        df = dense(df, value, series, buckets, time)
     done = {
         "linear": lambda: F.col(value), "logarithmic": lambda: F.when(F.col(value) > 0, F.log(F.col(value))),
         "cumulative": lambda: F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)), "rolling_average": lambda: F.avg(value).over(order.rowsBetween(1 - window, 0)),
@@ -86,10 +100,11 @@ def analyse(df: DataFrame, how: str, value: str, series: Sequence[str], window:
     return df.withColumn(value, done)
 
 
-def compare(df: DataFrame, value: str, series: Sequence[str], offset: int, unit: Unit, time: str = "bucket") -> DataFrame:
-    """Adds compare_value: the value of the bucket offset units earlier, null where there is none."""
-    before = df.select(*[F.col(s).alias(f"_s_{s}") for s in series], shift(F.col(time), offset, unit).alias("_t"), F.col(value).alias("compare_value"))
-    on = [F.col(s).eqNullSafe(F.col(f"_s_{s}")) for s in series] + [F.col(time) == F.col("_t")]
+def compare(df: DataFrame, earlier: DataFrame, value: str, series: Sequence[str], offset: int, unit: Unit, grain: Unit, time: str = "bucket") -> DataFrame:
+    """Adds compare_value: the value in earlier, the same series over the time offset units before; null where there is none."""
+    at = bucket(shift(F.col(time), offset, unit), grain)
+    before = earlier.select(*[F.col(f"`{s}`").alias(f"_s_{s}") for s in series], at.alias("_t"), F.col(value).alias("compare_value"))
+    on = [F.col(f"`{s}`").eqNullSafe(F.col(f"`_s_{s}`")) for s in series] + [F.col(time) == F.col("_t")]
     return df.join(before, on, "left").drop(*[f"_s_{s}" for s in series], "_t")
 
 

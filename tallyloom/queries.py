@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from .catalog import Catalog, build_dictionary
 from .functions.buckets import bucket
+from .functions.numbering import numbered
 from .functions.predicates import conditions
 from .model import (
     ActiveGroups, AggregateProperty, AggregatePropertyPerGroup, CountEvents, CountPerGroup, CountUniqueGroups, CustomEvent, DidEventAfterFirstUse, DidEventAggregate, DidEventCount, DidEventEach,
@@ -30,7 +32,7 @@ IN_TIME = f"created_at BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'"
 K = "regexp_extract(props, '\"k\": *([0-9]+)', 1)::INT"
 EVENTS = f"""(SELECT *, k % 2 = 0 AS even, CASE k % 3 WHEN 1 THEN TRUE WHEN 2 THEN FALSE END AS flag, CASE WHEN k < 50 THEN 'low' WHEN k < 90 THEN 'high' END AS band,
   (group_0 % 3)::VARCHAR AS plan FROM (SELECT 1::BIGINT AS project_id, user_id AS group_0, ts AS created_at, event_id, event_type AS event, value::DECIMAL(28, 16) AS value, {K} AS k FROM events))"""
-VERSIONS = """(SELECT 1::BIGINT AS project_id, c_custkey AS id, v::BIGINT AS version, TIMESTAMP '2024-01-01' + to_days((c_custkey % 20)::INT) AS created_at, c_name AS name, c_mktsegment AS segment_name,
+VERSIONS = """(SELECT 1::BIGINT AS project_id, c_custkey AS id, v::BIGINT AS version, TIMESTAMP '2024-01-01' + to_days((c_custkey % 20 + 3 * (v - 1))::INT) AS created_at, c_name AS name, c_mktsegment AS segment_name,
   c_acctbal + v * 100 AS balance FROM customer, unnest(range(1, (c_custkey % 3 + 2)::BIGINT)) AS u(v))"""
 CATALOG = Catalog(custom_events={
     "interest": CustomEvent("interest", (EventRef("click", (Filter("band", "eq", ("low",)),)), EventRef("view", (Filter("k", "gte", (20,)),)))),
@@ -92,7 +94,8 @@ for _unit in ("hour", "month", "year"):
     seg(f"seg_count_by_{_unit}", one(CountEvents(), unit=_unit), rows_sql("Count Events", "count(event)", unit=_unit))
 for _name, _days, _label in (("wau_trailing", 7, "Weekly"), ("mau_trailing", 30, "Monthly")):
     seg(_name, one(ActiveGroups(_days)), f"""SELECT 'click' AS event, 'all' AS segment, b::TIMESTAMP AS bucket, '{_label} Active Groups' AS agg_name, count(DISTINCT group_0)::DOUBLE AS value FROM (
-  SELECT DISTINCT group_0, created_at::DATE AS d FROM {EVENTS} WHERE event = 'click' AND {IN_TIME}), unnest(range(d::TIMESTAMP, d::TIMESTAMP + INTERVAL {_days} DAY, INTERVAL 1 DAY)) AS u(b) GROUP BY b""")
+  SELECT DISTINCT group_0, created_at::DATE AS d FROM {EVENTS} WHERE event = 'click' AND created_at >= TIMESTAMP '{START}' - INTERVAL {_days - 1} DAY AND created_at <= TIMESTAMP '{END}'),
+  unnest(range(d::TIMESTAMP, d::TIMESTAMP + INTERVAL {_days} DAY, INTERVAL 1 DAY)) AS u(b) WHERE b BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' GROUP BY b""")
 for _a in ("count", "sum", "min", "max", "avg"):
     seg(f"seg_count_per_user_{_a}", one(CountPerGroup(_a)), per_group_sql(f"{_a.capitalize()} Count Per Group", "count(*)", f"{_a}(v)"))
 for _a in ("count", "sum", "min", "max", "avg", "median", "distinct_count", "p25", "p75", "p90", "p99"):
@@ -107,6 +110,14 @@ seg(
     Segmentation(TIME, "day", (EventQuery(EventRef("click"), (CountEvents(), CountUniqueGroups(), Formula("m0 / m1"))),)),
     " UNION ALL ".join([rows_sql("Count Events", "count(event)"), rows_sql("Count Unique Groups", "count(DISTINCT group_0)"), rows_sql("m0 / m1", "count(event) / count(DISTINCT group_0)")]),
 )
+for _a, _p in (("median", 0.5), ("p90", 0.9)):  # sketches are held to whole numbers of a small range, where they are exact
+    seg(f"seg_approximate_{_a}_k", one(AggregateProperty("k", _a, approximate=True), unit="week"), rows_sql(f"{_a.capitalize()} k", f"quantile_disc(k, {_p})", unit="week"))
+_typed_metrics = (CountEvents(), CountUniqueGroups(), AggregateProperty("k", "sum"), AggregateProperty("k", "avg"), AggregatePropertyPerGroup("k", "sum", "avg"))
+add("seg_typed", lambda s, d: segmentation.typed(Segmentation(TIME, "week", (EventQuery(EventRef("click"), _typed_metrics),)), clickstream(s, d), CATALOG)[0][1], f"""SELECT 'all' AS segment, date_trunc('week', created_at)::TIMESTAMP AS bucket, sum(n)::BIGINT AS "Count Events",
+  count(group_0)::BIGINT AS "Count Unique Groups", sum(ks)::BIGINT AS "Sum k", sum(ks)::DOUBLE / sum(n)::DOUBLE AS "Avg k", avg(ks)::DOUBLE AS "Avg of Sum k Per Group" FROM
+  (SELECT min(created_at) AS created_at, date_trunc('week', created_at) AS w, group_0, count(*) AS n, sum(k) AS ks FROM {EVENTS} WHERE event = 'click' AND {IN_TIME} GROUP BY w, group_0) GROUP BY ALL""")
+add("seg_pie", lambda s, d: plain(segmentation.shown(replace(one(CountEvents(), breakdowns=("band",)), chart_type="pie"), clickstream(s, d), CATALOG)), f"""SELECT 'click' AS event, 'all' AS segment, band, 'Count Events' AS agg_name, count(*)::DOUBLE AS value,
+  round(count(*) / sum(count(*)) OVER (), 4) AS share FROM {EVENTS} WHERE event = 'click' AND {IN_TIME} GROUP BY band""")
 MULTI = Segmentation(TIME, "week", (EventQuery(EventRef("click"), (CountEvents(), AggregateProperty("value", "sum")), ("band",)), EventQuery(EventRef("view"), (CountUniqueGroups(),), ("plan",))))
 seg("seg_multi_event_merge", MULTI, " UNION ALL BY NAME ".join([
     rows_sql("Count Events", "count(event)", unit="week", keys="band"), rows_sql("Sum value", "sum(value)", unit="week", keys="band"),
@@ -129,7 +140,16 @@ _series = f"(SELECT date_trunc('day', created_at)::TIMESTAMP AS bucket, count(*)
 for _name, _sql in (("cumulative", "sum(n) OVER (ORDER BY bucket)"), ("rolling_average", "avg(n) OVER (ORDER BY bucket ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"), ("logarithmic", "ln(n)")):
     seg(f"analysis_{_name}", one(CountEvents(), analysis=_name, window=3), f"SELECT 'click' AS event, 'all' AS segment, bucket, 'Count Events' AS agg_name, round(({_sql})::DOUBLE, 4) AS value FROM {_series}")
 seg("compare_previous", one(CountEvents(), compare=(7, "day")), f"""SELECT 'click' AS event, 'all' AS segment, a.bucket, 'Count Events' AS agg_name, a.n::DOUBLE AS value, b.n::DOUBLE AS compare_value
-FROM {_series} a LEFT JOIN {_series} b ON a.bucket = b.bucket + INTERVAL 7 DAY""")
+FROM {_series} a LEFT JOIN (SELECT date_trunc('day', created_at)::TIMESTAMP AS bucket, count(*) AS n FROM {EVENTS} WHERE event = 'click' AND created_at BETWEEN TIMESTAMP '{START}' - INTERVAL 7 DAY AND TIMESTAMP '{END}' - INTERVAL 7 DAY GROUP BY ALL) b
+ON a.bucket = b.bucket + INTERVAL 7 DAY""")
+seg("compare_month_of_weeks", one(CountUniqueGroups(), unit="week", compare=(1, "week"), breakdowns=("band",)), f"""WITH s AS (SELECT date_trunc('week', created_at)::TIMESTAMP AS bucket, band, count(DISTINCT group_0) FILTER ({IN_TIME}) AS n,
+  count(DISTINCT group_0) FILTER (created_at BETWEEN TIMESTAMP '{START}' - INTERVAL 7 DAY AND TIMESTAMP '{END}' - INTERVAL 7 DAY) AS m FROM {EVENTS} WHERE event = 'click' GROUP BY ALL)
+SELECT 'click' AS event, 'all' AS segment, a.bucket, a.band, 'Count Unique Groups' AS agg_name, a.n::DOUBLE AS value, nullif(b.m, 0)::DOUBLE AS compare_value FROM s a LEFT JOIN s b ON a.bucket = b.bucket + INTERVAL 7 DAY AND a.band IS NOT DISTINCT FROM b.band WHERE a.n > 0""")
+_rare = Segmentation(TIME, "hour", (EventQuery(EventRef("click", (Filter("k", "lt", (20,)),)), (CountEvents(),), ("band",)),))
+_dense = f"""(SELECT b.bucket, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(date_trunc('hour', TIMESTAMP '{START}'), TIMESTAMP '{END}', INTERVAL 1 HOUR)) AS bucket) b
+  LEFT JOIN (SELECT date_trunc('hour', created_at)::TIMESTAMP AS bucket, count(*) AS n FROM {EVENTS} WHERE event = 'click' AND k < 20 AND {IN_TIME} GROUP BY ALL) s USING (bucket))"""
+for _name, _sql in (("cumulative", "sum(n) OVER (ORDER BY bucket)"), ("rolling_average", "avg(n) OVER (ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")):
+    seg(f"analysis_{_name}_gaps", replace(_rare, analysis=_name, window=5), f"SELECT 'click' AS event, 'all' AS segment, bucket, 'low' AS band, 'Count Events' AS agg_name, round(({_sql})::DOUBLE, 4) AS value FROM {_dense}")
 
 # --- charts and shaping -------------------------------------------------------------------------------------------
 
@@ -273,6 +293,9 @@ _ttc = FunnelFilter("time_to_convert", least=timedelta(hours=12), most=timedelta
 funnel_query("converted_within", Funnel(TIME, STEPS, W3, filter=_ttc), report_sql(attempts_sql(S, 3), 3, where="len(st) = 3 AND st[3] - st[1] BETWEEN 43200000000 AND 172800000000"))
 funnel_query("ttc", Funnel(TIME, STEPS, W3, chart="time_to_convert"), f"{attempts_sql(S, 3)} SELECT ((st[3] - st[1]) // 3600000000)::BIGINT AS bin, count(*) AS total FROM found WHERE len(st) = 3 GROUP BY ALL")
 funnel_query("frequency", Funnel(TIME, STEPS, W3, chart="frequency"), f"{attempts_sql(S, 3)} SELECT times, count(*) AS users FROM (SELECT u, count(*) AS times FROM found WHERE len(st) = 3 GROUP BY u) GROUP BY ALL")
+_timed = Funnel(TIME, STEPS, timedelta(days=9), chart="time_to_convert", breakdowns=("band",), least=timedelta(hours=6), most=timedelta(days=4))
+funnel_query("ttc_by_band", _timed, f"""{attempts_sql(S, 9, keys="band")} SELECT band, ((st[3] - st[1]) // 3600000000)::BIGINT AS bin, count(*) AS total FROM found WHERE len(st) = 3 AND st[3] - st[1] BETWEEN 21600000000 AND 345600000000 GROUP BY ALL""")
+funnel_query("frequency_by_band", replace(_timed, chart="frequency"), f"{attempts_sql(S, 9, keys='band')} SELECT band, times, count(*) AS users FROM (SELECT u, band, count(*) AS times FROM found WHERE len(st) = 3 GROUP BY u, band) GROUP BY ALL")
 _sessioned = f"""(SELECT *, sum(new) OVER (PARTITION BY group_0 ORDER BY created_at, event_id) AS sess FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY group_0 ORDER BY created_at, event_id) <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS new
   FROM {EVENTS} WHERE {IN_TIME}))"""
 funnel_query("session", Funnel(TIME, STEPS, W3, count="session", session_gap=timedelta(days=1)), report_sql(attempts_sql(S, 3, keys="sess", source=_sessioned), 3))
@@ -301,7 +324,7 @@ add("orders_by_nation", lambda s, d: plain(segmentation.compact(_commerce, order
 SELECT 'Order F' AS event, 'all' AS segment, bucket, nation, 'Sum price' AS agg_name, round(sum(o_totalprice::DECIMAL(28, 16))::DOUBLE, 2) AS value FROM o GROUP BY ALL
 UNION ALL SELECT 'Order F', 'all', bucket, nation, 'Count Unique Groups', count(DISTINCT o_custkey)::DOUBLE FROM o GROUP BY ALL""")
 add("profile_as_of", lambda s, d: plain(as_of(clickstream(s, d).select("group_0", "created_at", "event_id"), customer_versions(s, d)).groupBy("profile_segment_name").agg(F.count(F.lit(1)).alias("n"), F.sum("profile_version").alias("versions")), 2),
-    f"""SELECT v.segment_name AS profile_segment_name, count(*) AS n, sum(v.version)::BIGINT AS versions FROM {EVENTS} e LEFT JOIN {_latest} v ON v.id = e.group_0 AND v.created_at <= e.created_at GROUP BY ALL""")
+    f"""SELECT v.segment_name AS profile_segment_name, count(*) AS n, sum(v.version)::BIGINT AS versions FROM {EVENTS} e ASOF LEFT JOIN {VERSIONS} v ON v.id = e.group_0 AND v.created_at <= e.created_at GROUP BY ALL""")
 GAP = timedelta(hours=12)
 _gaps = f"""(SELECT *, sum(new) OVER (PARTITION BY group_0 ORDER BY created_at, event_id)::BIGINT AS session FROM (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY group_0 ORDER BY created_at, event_id) > INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM {EVENTS}))"""
 _sessions = f"(SELECT group_0, min(created_at) AS session_begin, max(created_at) AS session_end, count(*) AS n_events FROM {_gaps} GROUP BY group_0, session)"
@@ -328,7 +351,7 @@ _asked = f"(SELECT *, CASE WHEN k % 4 <> 0 THEN 'u' || (group_0 % 40) END AS uid
 
 
 def _identity(s: SparkSession, d: str) -> DataFrame:
-    track = ingest.parse(_requests(s, d))
+    track = ingest.parse(_requests(s, d), fields=("userId", "anonymousId", "timestamp"))
     return ingest.resolve(track, ingest.identities(track)).groupBy("user").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -356,7 +379,7 @@ def _typed(s: SparkSession, d: str) -> DataFrame:
 
 
 add("ingest_typed", _typed, f"""SELECT band AS "Band", round(sum(value)::DOUBLE, 4) AS total FROM {EVENTS} GROUP BY band""")
-add("ingest_numbered", lambda s, d: ingest.number(clickstream(s, d).select("created_at", F.col("event_id").alias("old")), 1000, ["created_at", "old"]).select("old", "event_id"), f"SELECT event_id AS old, 999 + row_number() OVER (ORDER BY created_at, event_id) AS event_id FROM {EVENTS}")
+add("ingest_numbered", lambda s, d: numbered(clickstream(s, d).select("created_at", F.col("event_id").alias("old")), ["created_at", "old"], 1000, "event_id").select("old", "event_id"), f"SELECT event_id AS old, 999 + row_number() OVER (ORDER BY created_at, event_id) AS event_id FROM {EVENTS}")
 
 
 def _merged(v: DataFrame) -> DataFrame:
@@ -365,9 +388,7 @@ def _merged(v: DataFrame) -> DataFrame:
     return out.select("id", "version", F.size("properties").cast("bigint").alias("n"), F.element_at("properties", "last").alias("last"))
 
 
-#: A tenth of the customers only, as its SQL has it; identify_merge_all merges the profiles of all.
-add("identify_merge", lambda s, d: _merged(customer_versions(s, d).where("id % 10 = 0")), f"SELECT id::VARCHAR AS id, version, version + 1 AS n, version::VARCHAR AS last FROM {VERSIONS} WHERE id % 10 = 0")
-add("identify_merge_all", lambda s, d: _merged(customer_versions(s, d)), f"SELECT id::VARCHAR AS id, version, version + 1 AS n, version::VARCHAR AS last FROM {VERSIONS}")
+add("identify_merge", lambda s, d: _merged(customer_versions(s, d)), f"SELECT id::VARCHAR AS id, version, version + 1 AS n, version::VARCHAR AS last FROM {VERSIONS}")
 add("grouped_conditions", lambda s, d: clickstream(s, d).where(conditions((FilterGroup("and", (Filter("k", "gt", (10,)), FilterGroup("or", (Filter("band", "eq", ("low",)), Filter("plan", "eq", ("0",)))))),), CATALOG)).groupBy("event").agg(F.count(F.lit(1)).alias("n")), f"SELECT event, count(*) AS n FROM {EVENTS} WHERE k > 10 AND (band = 'low' OR plan = '0') GROUP BY ALL")
 
 

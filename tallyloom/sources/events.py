@@ -31,12 +31,12 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of each customer's profile: 1 + key % 3 of them, the balance growing with the version."""
+    """Versions of each customer's profile: 1 + key % 3 of them, three days apart, the balance growing with the version."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     v = F.explode(F.sequence(F.lit(1), (F.col("c_custkey") % 3 + 1).cast("int")))
     return c.select("*", v.alias("version")).select(
         F.lit(1).cast("long").alias("project_id"), F.col("c_custkey").alias("id"), F.col("version").cast("long").alias("version"),
-        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("c_custkey") % 20).cast("int"))).alias("created_at"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("c_custkey") % 20 + 3 * (F.col("version") - 1)).cast("int"))).alias("created_at"),
         F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment_name"), (F.col("c_acctbal") + F.col("version") * 100).alias("balance"),
     )
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import DECIMAL, Catalog
 from ..sources.store import Table
@@ -19,9 +21,15 @@ SYSTEMS = (("iOS", r"iPhone OS (\d+)|CPU OS (\d+)"), ("Android", r"Android (\d+)
 DEVICES = (("iPhone", r"iPhone"), ("iPad", r"iPad"), ("Android phone", r"Android.*Mobile"), ("Android tablet", r"Android"), ("Desktop", r"Windows NT|Macintosh|X11"))
 
 
-def parse(requests: DataFrame, kind: str = "track", received: str | None = None) -> DataFrame:
-    """JSON text in column body as typed columns; a request without a timestamp takes the column received, if named."""
-    out = requests.withColumn("r", F.from_json("body", TRACK if kind == "track" else IDENTIFY)).where("r is not null")
+def parse(requests: DataFrame, kind: str = "track", received: str | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """JSON text in column body as typed columns (fields: these alone); a request without a timestamp takes the column received,
+    if named. Text that is no JSON object is left out."""
+    schema = TRACK if kind == "track" else IDENTIFY
+    if fields:
+        schema = ",".join(f"{f.name} {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema) if f.name in fields)
+    # As an array's only element the request is parsed once; else each column and filter would parse it anew.
+    once = F.array(F.from_json("body", schema))
+    out = requests.select(*[c for c in requests.columns if c != "body"], F.explode(F.filter(once, lambda r: r.isNotNull())).alias("r"))
     out = out.select(*[c for c in requests.columns if c != "body"], "r.*")
     return out.withColumn("timestamp", F.coalesce("timestamp", F.col(received).cast("timestamp_ntz"))) if received else out
 
@@ -51,18 +59,6 @@ def resolve(track: DataFrame, known: DataFrame) -> DataFrame:
     return joined.withColumn("user", F.coalesce("userId", "_user", F.concat(F.lit("anonymous:"), "anonymousId"))).drop("_anonymous", "_user")
 
 
-def number(df: DataFrame, first: int, order: list[str], name: str = "event_id") -> DataFrame:
-    """Ids from first on in the given order; of rows, only a count per partition comes to the driver."""
-    placed = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    placed = placed.persist()
-    base, done = [], first
-    for part, n in sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect()):
-        base.append((part, done))
-        done += n
-    starts = df.sparkSession.createDataFrame(base, "_part int, _base long")
-    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_base")).drop("_part", "_at", "_base")
-
-
 def campaign(df: DataFrame) -> DataFrame:
     """The five UTM columns from context.campaign."""
     c = "context.campaign"
@@ -106,20 +102,35 @@ def locate(df: DataFrame, ranges: DataFrame, ip: str, shift: int = 16) -> DataFr
     return left.join(cut, on, "left").drop("_ip", "_b", "_block", "first", "last")
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by id; of an id only the profile so far is held."""
+    who, version, profile = None, 0, {}
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if (r["group"], r["id"]) != who:
+                who, version, profile = (r["group"], r["id"]), 0, {}
+            profile = profile | dict(r["properties"] or [])
+            version = r["base"] or version + 1
+            if not r["base"]:
+                out.append({"group": r["group"], "id": r["id"], "version": version, "timestamp": r["timestamp"], "properties": list(profile.items())})
+        yield pa.RecordBatch.from_pylist(out, _PROFILE)
+
+
+_PROFILE = pa.schema([("group", pa.string()), ("id", pa.string()), ("version", pa.int64()), ("timestamp", pa.timestamp("us")), ("properties", pa.map_(pa.string(), pa.string()))])
+
+
 def merge_profiles(identify: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(group, id, version, timestamp, properties): each request's full profile after it, properties merged one on another."""
+    """(group, id, version, timestamp, properties): each request's full profile after it, properties merged one on another.
+
+    known: latest profiles, on which the requests are merged, whatever their times. Requests of one time go by a hash of their
+    properties. Rows are sorted by id within partitions and folded as they come, so that an id may have any number of them."""
     rows = identify.select("group", "id", "timestamp", "properties", F.lit(0).cast("long").alias("base"))
     if known is not None:
         rows = rows.unionByName(known.select("group", "id", "timestamp", "properties", F.col("version").alias("base")))
-    order = Window.partitionBy("group", "id").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0)
-    merged = F.aggregate(
-        F.collect_list(F.coalesce("properties", F.create_map().cast("map<string,string>"))).over(order), F.create_map().cast("map<string,string>"),
-        lambda a, m: F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(m), k)), m),
-    )
-    seen = F.row_number().over(Window.partitionBy("group", "id").orderBy("timestamp"))
-    first = F.max("base").over(Window.partitionBy("group", "id"))
-    out = rows.select("group", "id", "timestamp", merged.alias("properties"), "base", (F.when(first > 0, first - 1).otherwise(F.lit(0)) + seen).alias("version"))
-    return out.where("base = 0").select("group", "id", "version", "timestamp", "properties")
+    tie = F.xxhash64(F.sort_array(F.map_entries("properties")))
+    placed = rows.withColumn("tie", tie).repartition("group", "id").sortWithinPartitions("group", "id", F.desc(F.col("base") > 0), "timestamp", "tie").drop("tie")
+    return placed.mapInArrow(_merge, "group string, id string, version long, timestamp timestamp_ntz, properties map<string,string>")
 
 
 def stream_to_table(stream: DataFrame, table: Table, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, once: bool = False):

@@ -4,11 +4,15 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import model as M
 from tallyloom.catalog import DECIMAL, Catalog, build_dictionary
-from tallyloom.functions.buckets import bucket_list
+from tallyloom.functions import buckets
+from tallyloom.functions.buckets import bucket, bucket_list, micros
 from tallyloom.functions.predicates import condition
 from tallyloom.model import CustomEvent, EventRef, Filter, FilterGroup, TimeRange
-from tallyloom.operators import shaping
+from tallyloom.operators import metrics, shaping
+from tallyloom.plans import segmentation
+from tallyloom.streaming import sessions
 
 
 def test_unpivot_pivot_round_trip(spark):
@@ -115,6 +119,50 @@ def test_duplicate_display_names(spark):
 def test_analysis_and_compare(spark):
     days = [datetime(2024, 1, 1) + timedelta(days=i) for i in (0, 1, 2, 4)]
     df = spark.createDataFrame([(d, "s", float(v)) for d, v in zip(days, (1, 2, 4, 8))], "bucket timestamp_ntz, s string, value double")
-    get = lambda how: [r["value"] for r in shaping.analyse(df, how, "value", ["s"]).orderBy("bucket").collect()]
-    assert get("cumulative") == [1, 3, 7, 15] and get("rolling_average") == [1, 1.5, 3, 6] and get("logarithmic")[0] == 0
-    assert [r["compare_value"] for r in shaping.compare(df, "value", ["s"], 2, "day").orderBy("bucket").collect()] == [None, None, 1, 4]
+    get = lambda how: [r["value"] for r in shaping.analyse(df, how, "value", ["s"], [datetime(2024, 1, 1) + timedelta(days=i) for i in range(5)]).orderBy("bucket").collect()]
+    assert get("cumulative") == [1, 3, 7, 7, 15] and get("rolling_average") == [1, 1.5, 3, 2, 4] and get("logarithmic")[0] == 0
+    earlier = df.withColumn("bucket", F.col("bucket") - F.expr("interval 2 days"))
+    assert [r["compare_value"] for r in shaping.compare(df, earlier, "value", ["s"], 2, "day", "day").orderBy("bucket").collect()] == [1, 2, 4, 8]
+
+
+def test_times_do_not_move_with_the_sessions_zone(spark):
+    """In a zone whose clocks go forward at 02:00 of 10 March 2024, a time without a zone between 02:00 and 03:00 is a time like any."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    times = [datetime(2024, 3, 10, 1, 59, 59, 999_999), datetime(2024, 3, 10, 2, 30), datetime(2024, 3, 10, 3, 10), datetime(1969, 12, 31, 23, 59, 59, 1)]
+    rows = [(1, 5, t, i, "e") for i, t in enumerate(times)]
+    events = spark.createDataFrame(rows, "project_id long, group_0 long, created_at timestamp_ntz, event_id long, event string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for unit in ("hour", "day", "week", "month", "year"):
+            got = [r["b"] for r in events.select("event_id", bucket(F.col("created_at"), unit).alias("b")).orderBy("event_id").collect()]
+            assert got == [buckets.floor(t, unit) for t in times]
+        at = events.select("event_id", micros(F.col("created_at")).alias("us")).withColumn("back", buckets.from_micros(F.col("us"))).orderBy("event_id").collect()
+        assert [r["us"] for r in at] == [(t - datetime(1970, 1, 1)) // timedelta(microseconds=1) for t in times] and [r["back"] for r in at] == times
+        late = events.where("event_id < 3")
+        assert [(r["session_begin"], r["n_events"], r["length_ms"]) for r in sessions.sessions(late, timedelta(minutes=35)).orderBy("session_begin").collect()] == [(times[0], 2, 1_800_000), (times[2], 1, 0)]
+        assert [r["session"] for r in sessions.session_ids(late, timedelta(minutes=35)).orderBy("event_id").collect()] == [0, 0, 1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_result_types(spark):
+    """For each type of property and each aggregate the type of the result, and that the values fit it."""
+    types = {"i8": "tinyint", "i16": "smallint", "i32": "int", "i64": "bigint", "dec": "decimal(28,16)", "f": "double"}
+    events = spark.range(6).select(F.lit(1).cast("long").alias("project_id"), F.lit(datetime(2024, 1, 5)).cast("timestamp_ntz").alias("created_at"), F.lit("e").alias("event"), (F.col("id") % 2).alias("group_0"), *[F.col("id").cast(t).alias(n) for n, t in types.items()])
+    decimal = "decimal(28,16)"
+    for name, kind in types.items():
+        want = {"count": "bigint", "avg": "double", "min": kind, "max": kind, "sum": "bigint" if kind in ("tinyint", "smallint", "int") else "double" if kind == "double" else decimal}
+        request = M.Segmentation(M.TimeRange(datetime(2024, 1, 1), datetime(2024, 1, 31)), "day", (M.EventQuery(M.EventRef("e"), tuple(M.AggregateProperty(name, a) for a in want)),))
+        (_, df), = segmentation.typed(request, events, Catalog())
+        got = dict(df.dtypes)
+        assert {a: got[f"{a.capitalize()} {name}"] for a in want} == want
+        row = df.first()
+        assert [float(row[f"{a.capitalize()} {name}"]) for a in ("count", "avg", "min", "max", "sum")] == [6, 2.5, 0, 5, 15]
+    assert metrics.result_type(M.AggregatePropertyPerGroup("i32", "sum", "sum"), types, Catalog()) == decimal and metrics.result_type(M.CountPerGroup("avg"), types, Catalog()) == "double"
+
+
+def test_columns_of_a_chart(spark):
+    request = M.Segmentation(M.TimeRange(datetime(2024, 1, 1), datetime(2024, 1, 2)), "day", (M.EventQuery(M.EventRef("e"), (M.CountEvents(),), ("2fa",)),))
+    events = spark.createDataFrame([(1, datetime(2024, 1, 1), "e", 1, "yes")], "project_id long, created_at timestamp_ntz, event string, group_0 long, `2fa` string")
+    roles = segmentation.roles(segmentation.chart(request, events, Catalog()), request)
+    assert roles == {"Event": "dimension", "Segment": "dimension", "2fa": "dimension", "Formula": "dimension", "Average": "metric", "2024-01-01T00:00:00": "metricValue", "2024-01-02T00:00:00": "metricValue"}

@@ -53,7 +53,7 @@ def test_chart_caps_each_event_by_its_own_breakdowns(spark):
 
 def test_profiles_of_all_customers_are_merged(spark):
     ids = {str(r["c_custkey"]) for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
-    assert {r["id"] for r in Q.QUERIES["identify_merge_all"](spark, SF).collect()} == ids and any(int(i) % 10 for i in ids)
+    assert {r["id"] for r in Q.QUERIES["identify_merge"](spark, SF).collect()} == ids and any(int(i) % 10 for i in ids)
 
 
 def test_entry(spark):
