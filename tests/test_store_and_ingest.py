@@ -36,15 +36,90 @@ def test_table_grows_compacts_and_prunes(spark, tmp_path):
     table.insert(events(spark, [(3, 1, "c")]).withColumn("extra", F.lit("x")))
     assert sorted((r["event"], r["extra"]) for r in table.scan().collect()) == [("a", None), ("b", None), ("c", "x")]
     table.compact()
-    assert table.scan(["event"]).count() == 3 and table._current().endswith("data-1")
+    assert table.scan(["event"]).count() == 3 and len(table.state().folders) == 1
     table.insert(rows)
     table.compact()
-    assert table.scan().count() == 5 and table._current().endswith("data-2")
+    assert table.scan().count() == 5 and len(table.state().folders) == 1
     plan = table.get(project_id=1, group_0=2)._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "EqualTo(group_0,2)" in plan
     assert [r["event"] for r in table.get(project_id=1, group_0=2).collect()] == ["b", "b"]
     table.backup(str(tmp_path / "copy"))
     assert Table(spark, str(tmp_path / "copy")).scan().count() == 5
+    with pytest.raises(ValueError, match="holds a table"):
+        table.backup(str(tmp_path / "copy"))
+    table.insert(rows)
+    assert table.scan().count() == 7
+    table.restore(str(tmp_path / "copy"))
+    assert table.scan().count() == 5 and table.schema() == Table(spark, str(tmp_path / "copy")).schema()
+    assert len(table.vacuum(3600)) == 0 and len(table.vacuum(-60)) > 0 and table.scan().count() == 5
+
+
+def grown(spark, path, rows):
+    table = Table(spark, path)
+    table.add_fields(rows.schema.fields)
+    return table
+
+
+def test_batches_are_taken_once(spark, tmp_path):
+    rows = events(spark, [(1, 0, "a"), (2, 2000, "b")])
+    table = grown(spark, str(tmp_path / "t"), rows)
+    assert table.insert(rows, ("s", 0)) and not table.insert(rows, ("s", 0)) and table.insert(rows, ("s", 1)) and table.insert(rows, ("other", 0))
+    table.compact()
+    assert not table.insert(rows, ("s", 1)) and table.scan().count() == 6
+    for i in range(2, 45):  # past commits that hold the whole state
+        table._commit(lambda _, i=i: {"batches": {"s": i}})
+    assert not Table(spark, table.path).insert(rows, ("s", 44)) and table.state().n > 40 and table.scan().count() == 6
+
+
+def test_rows_that_come_in_while_compacting_stay(spark, tmp_path, monkeypatch):
+    rows = events(spark, [(1, 0, "a"), (2, 2000, "b")])
+    table = grown(spark, str(tmp_path / "t"), rows)
+    table.insert(rows)
+    table.insert(rows)
+    write = Table._write
+
+    def slow(self, df):
+        folder = write(self, df)
+        monkeypatch.setattr(Table, "_write", write)
+        Table(spark, table.path).insert(rows)
+        return folder
+
+    monkeypatch.setattr(Table, "_write", slow)
+    table.compact()
+    assert table.scan().count() == 6 and len(table.state().folders) == 2
+
+    def second(self, df):
+        folder = write(self, df)
+        monkeypatch.setattr(Table, "_write", write)
+        Table(spark, table.path).compact()
+        return folder
+
+    monkeypatch.setattr(Table, "_write", second)
+    table.compact()  # gives up
+    assert table.scan().count() == 6 and len(table.state().folders) == 1
+
+
+def test_of_two_that_replace_one_succeeds(spark, tmp_path, monkeypatch):
+    table = Table(spark, str(tmp_path / "users"), ("project_id", "id"), replacing=True)
+    row = lambda i, v, name: spark.createDataFrame([(1, i, v, name)], "project_id long, id long, version long, name string")
+    table.add_fields(row(1, 1, "x").schema.fields)
+    assert table.replace(row(7, 1, "first"), None)
+    write = Table._write
+
+    def meanwhile(which):
+        def run(self, df):
+            folder = write(self, df)
+            monkeypatch.setattr(Table, "_write", write)
+            assert Table(spark, table.path, table.keys, True).replace(row(which, 2, "other"), 1 if which == 7 else None)
+            return folder
+
+        return run
+
+    monkeypatch.setattr(Table, "_write", meanwhile(7))
+    assert not table.replace(row(7, 2, "mine"), 1)
+    monkeypatch.setattr(Table, "_write", meanwhile(8))
+    assert table.replace(row(7, 3, "mine"), 2)  # another key's row is no conflict
+    assert {(r["id"], r["name"]) for r in table.scan().collect()} == {(7, "mine"), (8, "other")}
 
 
 def test_replacing_table(spark, tmp_path):
