@@ -36,17 +36,19 @@ class Conflict(RuntimeError):
 
 @dataclass
 class State:
-    """What the commits up to number n add up to. batches: of each stream the last batch that is in."""
+    """What the commits up to number n add up to. batches: of each stream the last batch that is in; notes: numbers that came with
+    rows, such as the next free ids."""
 
     n: int = -1
     schema: T.StructType = field(default_factory=T.StructType)
     folders: list[str] = field(default_factory=list)
     batches: dict[str, int] = field(default_factory=dict)
+    notes: dict[str, int] = field(default_factory=dict)
 
     def after(self, entry: dict) -> State:
         kept = [] if entry.get("whole") else [f for f in self.folders if f not in entry.get("remove", ())]
         known = T.StructType.fromJson(entry["schema"]) if entry.get("schema") else self.schema
-        return State(self.n + 1, known, [*kept, *entry.get("add", ())], self.batches | entry.get("batches", {}))
+        return State(self.n + 1, known, [*kept, *entry.get("add", ())], self.batches | entry.get("batches", {}), self.notes | entry.get("notes", {}))
 
 
 class Table:
@@ -119,7 +121,7 @@ class Table:
                 return None
             then = now.after(entry)
             if then.n % WHOLE == 0:
-                entry = {"whole": True, "schema": json.loads(then.schema.json()), "add": then.folders, "batches": then.batches}
+                entry = {"whole": True, "schema": json.loads(then.schema.json()), "add": then.folders, "batches": then.batches, "notes": then.notes}
             if self._claim(then.n, entry):
                 return then
             now = self.state(now)
@@ -143,11 +145,12 @@ class Table:
 
         self._commit(make)
 
-    def insert(self, df: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+    def insert(self, df: DataFrame, batch: tuple[str, int] | None = None, notes: dict[str, int] | None = None) -> bool:
         """Appends rows; types must be the table's and columns known (add_field).
 
         batch: a stream's name and the number of its batch. A batch that is in already, or an older one, is not taken again, so
-        that a stream which repeats a batch after a failure appends it once. Returns whether rows were appended."""
+        that a stream which repeats a batch after a failure appends it once. notes go into the same commit. Returns whether rows were
+        appended."""
         now = self.state()
         if batch and now.batches.get(batch[0], -1) >= batch[1]:
             return False
@@ -161,7 +164,7 @@ class Table:
         def make(state: State) -> dict | None:
             if batch and state.batches.get(batch[0], -1) >= batch[1]:
                 return None
-            return {"add": [folder]} | ({"batches": {batch[0]: batch[1]}} if batch else {})
+            return {"add": [folder]} | ({"batches": {batch[0]: batch[1]}} if batch else {}) | ({"notes": notes} if notes else {})
 
         if self._commit(make) is None:
             self._drop(folder)
@@ -252,7 +255,7 @@ class Table:
         """A copy of the newest state: its folders, and a log of one commit."""
         now, target = self.state(), Table(self.spark, to, self.keys, self.replacing, self.version)
         self._copy(now, self.path, to)
-        if not target._claim(0, {"whole": True, "schema": json.loads(now.schema.json()), "add": now.folders, "batches": now.batches}):
+        if not target._claim(0, {"whole": True, "schema": json.loads(now.schema.json()), "add": now.folders, "batches": now.batches, "notes": now.notes}):
             raise ValueError(f"{to} holds a table")
 
     def restore(self, backup: str) -> None:
@@ -261,7 +264,7 @@ class Table:
         fs, _ = self._fs(self.path)
         have = {*self._names(f"{self.path}/data")}
         self._copy(State(folders=[f for f in then.folders if f not in have]), backup, self.path)
-        self._commit(lambda _: {"whole": True, "schema": json.loads(then.schema.json()), "add": then.folders, "batches": then.batches})
+        self._commit(lambda _: {"whole": True, "schema": json.loads(then.schema.json()), "add": then.folders, "batches": then.batches, "notes": then.notes})
 
     def _copy(self, what: State, source: str, target: str) -> None:
         util = self._jvm.org.apache.hadoop.fs.FileUtil

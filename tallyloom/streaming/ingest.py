@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..catalog import DECIMAL, Catalog
+from ..catalog import DECIMAL, TYPES, Catalog
 from ..sources.store import Table
 
 _CONTEXT = "library struct<name:string,version:string>,page struct<path:string,referrer:string,search:string,title:string,url:string>,userAgent string,ip string,campaign struct<source:string,medium:string,campaign:string,term:string,content:string>"
@@ -42,6 +42,13 @@ def typed_properties(df: DataFrame, catalog: Catalog, group: int | None = None,
     return df.withColumns({p.column: value(p) if p.type == "string" else F.try_cast(value(p), kinds[p.type]) if hasattr(F, "try_cast") else value(p).try_cast(kinds[p.type]) for p in own})
 
 
+def typed_variant(value: Column, kind: str) -> Column:
+    """A JSON value as a property of this type; null if it does not fit."""
+    if kind == "timestamp":
+        return F.try_variant_get(value, "$", "string").try_cast("timestamp_ntz")
+    return F.try_variant_get(value, "$", TYPES[kind].simpleString())
+
+
 def identities(track: DataFrame) -> DataFrame:
     """(anonymousId, user): the user that an anonymous id first came in with.
 
@@ -134,10 +141,11 @@ def merge_profiles(identify: DataFrame, known: DataFrame | None = None) -> DataF
 
 
 def stream_to_table(stream: DataFrame, table: Table, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, once: bool = False):
-    """Writes a stream into a table, batch by batch; the checkpoint makes it resume where it stopped."""
+    """Writes a stream into a table, batch by batch; the checkpoint makes it resume where it stopped, and a batch that comes
+    again is not taken again."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        table.insert(transform(batch) if transform else batch)
+    def write(batch: DataFrame, number: int) -> None:
+        table.insert(transform(batch) if transform else batch, (checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

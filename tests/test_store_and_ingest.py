@@ -6,10 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom import model as M
 from tallyloom.catalog import DECIMAL, Catalog
+from tallyloom.plans import segmentation
 from tallyloom.sources.events import as_of, latest
-from tallyloom.sources.store import Table, compact_json, csv_events
+from tallyloom.sources.store import Table, columns_json, compact_json, csv_events
 from tallyloom.streaming import ingest, sessions
+from tallyloom.streaming.executors import Ingest
 
 T0 = datetime(2024, 1, 1)
 EVENTS = "project_id long, group_0 long, created_at timestamp_ntz, event_id long, event string"
@@ -205,3 +208,121 @@ def test_streamed_sessions_equal_batches(spark, tmp_path):
     got = {(r["group_0"], r["created_at"], r["event"], r["length_ms"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r["group_0"], r["created_at"], r["event"], r["length_ms"]) for r in sessions.with_session_events(batch, gap, T0 + timedelta(minutes=501)).collect()}
     assert got == want and len({g for g in got if g[2] == sessions.END}) == 3
+
+
+def asked(spark, rows, received=None):
+    return spark.createDataFrame([(token, x if isinstance(x, str) else json.dumps(x)) for token, x in rows], "token string, body string")
+
+
+def at(minutes):
+    return (T0 + timedelta(minutes=minutes)).isoformat()
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    projects = spark.createDataFrame([("t1", 1), ("t2", 2)], "token string, project_id long")
+    ranges = spark.createDataFrame([(16909056, 16909311, "C", "c")], "first long, last long, country string, city string")
+    return Ingest(spark, str(tmp_path / "store"), projects, ranges=ranges)
+
+
+BATCHES = [
+    [
+        ("t1", {"anonymousId": "a", "event": "view", "timestamp": at(0), "properties": {"Price": 1.5, "Ok": True, "When": "2024-01-01T05:00:00", "Name": "x", "None": None}, "context": {"ip": "1.2.3.4", "campaign": {"source": "s"}, "userAgent": "Mozilla/5.0 (X11; Linux x86_64; rv:120.0) Gecko/20100101 Firefox/120.0"}}),
+        ("t1", {"userId": "u", "anonymousId": "a", "event": "buy", "timestamp": at(10), "groups": {"company": "acme", "team": "red"}}),
+        ("t2", {"userId": "u", "event": "buy", "timestamp": at(3)}),
+        ("t1", {"userId": "v", "event": "view", "timestamp": at(100), "groups": {"company": "acme"}, "properties": {"Price": "no number"}}),
+        ("bad", {"userId": "v", "event": "view", "timestamp": at(100)}), ("t1", {"event": "view", "timestamp": at(1)}), ("t1", "no json"), ("t1", {"userId": "v", "timestamp": at(1)}), ("t1", {"userId": "v", "event": "e"}),
+    ],
+    [
+        ("t1", {"userId": "u", "event": "view", "timestamp": at(30), "properties": {"Price": 2}}), ("t1", {"userId": "u", "event": "view", "timestamp": at(90), "context": {"campaign": {"source": "later"}}}),
+        ("t1", {"userId": "v", "anonymousId": "b", "event": "view", "timestamp": at(101)}), ("t1", {"anonymousId": "b", "event": "view", "timestamp": at(102), "groups": {"g3": "x", "g4": "x", "g5": "x", "g6": "x"}}),
+        ("t1", {"anonymousId": "c", "event": "view", "timestamp": at(103), "groups": {"g3": "x"}}), ("t1", {"userId": "w", "anonymousId": "c", "event": "view", "timestamp": at(104)}),
+    ],
+]
+
+
+def check_tracked(store):
+    catalog = store.catalog()
+    rows = [r.asDict() for r in store.events.scan().orderBy("project_id", "event_id").collect()]
+    mine = [r for r in rows if r["project_id"] == 1]
+    assert [r["event_id"] for r in mine] == list(range(1, len(mine) + 1)) and [r["event_id"] for r in rows if r["project_id"] == 2] == [1, 2]
+    ids = {(r["group"], r["kind"], r["value"]): r["id"] for r in store.ids.scan().where("project_id = 1").collect()}
+    a, v, c = ids[0, "anonymous", "a"], ids[0, "real", "v"], ids[0, "anonymous", "c"]
+    assert ids[0, "real", "u"] == a and ids[0, "real", "w"] == c and len({a, v, c}) == 3 and (0, "anonymous", "b") not in ids  # v is known; the request with too many groups is not taken
+    seen = sorted((r["created_at"], r["event"] != sessions.BEGIN, r["event"], r["group_0"]) for r in mine)
+    minute = lambda m: T0 + timedelta(minutes=m)
+    begin = sessions.BEGIN
+    assert [(t, e, g) for t, _, e, g in seen] == [
+        (minute(0), begin, a), (minute(0), "view", a), (minute(10), "buy", a), (minute(30), "view", a), (minute(90), begin, a), (minute(90), "view", a), (minute(100), begin, v), (minute(100), "view", v),
+        (minute(101), "view", v), (minute(103), begin, c), (minute(103), "view", c), (minute(104), "view", c),
+    ]
+    price, name, ok, when = (catalog.properties[n].column for n in ("Price", "Name", "Ok", "When"))
+    by = {(r["event"], r["created_at"]): r for r in mine}
+    first = by["view", minute(0)]
+    assert float(first[price]) == 1.5 and first[name] == "x" and first[ok] is True and first[when] == datetime(2024, 1, 1, 5) and first["country"] == "C" and first["os"] == "Linux" and first["utm_source"] is None
+    assert by[begin, minute(0)]["utm_source"] == "s" and by[begin, minute(90)]["utm_source"] == "later" and by["view", minute(100)][price] is None and float(by["view", minute(30)][price]) == 2
+    groups = {r["name"]: r["number"] for r in store.names.scan().where("what = 'group' and project_id = 1").collect()}
+    assert sorted(groups.values()) == list(range(1, len(groups) + 1)) and len(groups) <= 4
+    buy = by["buy", minute(10)]
+    assert buy[f"group_{groups['company']}"] == ids[groups["company"], "real", "acme"] == by["view", minute(100)][f"group_{groups['company']}"] and buy[f"group_{groups['team']}"] == 1
+    assert sorted((r["reason"]) for r in store.rejected.scan().collect()) == ["no event", "no event", "no timestamp", "no user", "too many groups", "unknown token"]
+
+
+def test_track_end_to_end_and_batches_again(spark, store):
+    for i, rows in enumerate(BATCHES):
+        assert store.track(asked(spark, rows), i) > 0
+        assert store.track(asked(spark, rows), i) == 0
+    check_tracked(store)
+    request = M.Segmentation(M.TimeRange(T0, T0 + timedelta(days=1)), "day", (M.EventQuery(M.EventRef("view"), (M.CountEvents(), M.AggregateProperty("Price", "sum"))),))
+    assert {(r["agg_name"], float(r["value"])) for r in segmentation.compact(request, store.events.scan(), store.catalog()).collect()} == {("Count Events", 7.0), ("Sum Price", 3.5)}
+    assert store.end_sessions(T0 + timedelta(minutes=133), 0) == 3  # v has its last event at 101, u at 90 and at 3 in the other project, w at 104
+    assert store.end_sessions(T0 + timedelta(minutes=133), 0) == 0
+    assert store.end_sessions(T0 + timedelta(days=1), 1) == 1
+    length = store.catalog().properties["Session Length"].column
+    ends = [float(r[length]) for r in store.events.scan().where(F.col("event") == sessions.END).collect()]
+    assert sorted(ends) == [0, 0, 60, 60]
+
+
+@pytest.mark.parametrize("fails", ["ids", "events", "sessions"])
+def test_a_batch_that_fails_midway_is_taken_once(spark, store, monkeypatch, fails):
+    table, insert = getattr(store, fails), Table.insert
+
+    def broken(self, *args, **more):
+        if self is table:
+            raise OSError("lost")
+        return insert(self, *args, **more)
+
+    store.track(asked(spark, BATCHES[0]), 0)
+    monkeypatch.setattr(Table, "insert", broken)
+    with pytest.raises(OSError):
+        store.track(asked(spark, BATCHES[1]), 1)
+    monkeypatch.setattr(Table, "insert", insert)
+    store.track(asked(spark, BATCHES[1]), 1)
+    check_tracked(store)
+
+
+def test_identify_end_to_end(spark, store, tmp_path):
+    rows = [
+        [("t1", {"group": "user", "id": "u", "timestamp": at(0), "properties": {"Plan": "free", "Seats": 3}}), ("t1", {"group": "company", "id": "acme", "timestamp": at(0), "properties": {"Size": 9}}), ("t1", {"group": "user", "timestamp": at(0)})],
+        [("t1", {"group": "user", "id": "u", "timestamp": at(5), "properties": {"Plan": "paid"}}), ("t1", {"group": "user", "id": "u", "timestamp": at(6)}), ("t2", {"group": "user", "id": "u", "timestamp": at(5), "properties": {"Plan": "other"}})],
+    ]
+    (tmp_path / "in").mkdir()
+    for i, batch in enumerate(rows):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"token": t, "body": json.dumps(x)}) for t, x in batch))
+        stream = spark.readStream.schema("token string, body string").json(str(tmp_path / "in"))
+        store.stream(stream, str(tmp_path / "cp"), "identify", once=True).awaitTermination()
+    store.identify(asked(spark, rows[1]), 1)
+    found = {(r["project_id"], r["group"], r["key"], r["version"]): r["properties"] for r in store.profiles.raw().collect()}
+    assert found == {
+        (1, 0, "u", 1): {"Plan": "free", "Seats": "3"}, (1, 0, "u", 2): {"Plan": "paid", "Seats": "3"}, (1, 0, "u", 3): {"Plan": "paid", "Seats": "3"}, (1, 1, "acme", 1): {"Size": "9"}, (2, 0, "u", 1): {"Plan": "other"},
+    }
+    wide = store.profile_columns()
+    plan, seats = (store.catalog().properties[n].column for n in ("Plan", "Seats"))
+    last = latest(wide.where("project_id = 1")).first()
+    assert last[plan] == "paid" and float(last[seats]) == 3 and last["version"] == 3
+    assert [r["reason"] for r in store.rejected.scan().collect()] == ["no group or id"]
+
+
+def test_results_as_json_by_column(spark):
+    df = spark.createDataFrame([("a", T0, None), ("b", None, 2.5)], f"k string, t timestamp_ntz, v {DECIMAL.simpleString()}".replace("v decimal(28,16)", "v double"))
+    assert json.loads(columns_json(df.orderBy("k"))) == [{"name": "k", "dataType": "string", "data": ["a", "b"]}, {"name": "t", "dataType": "timestamp_ntz", "data": [str(T0), None]}, {"name": "v", "dataType": "double", "data": [None, 2.5]}]
