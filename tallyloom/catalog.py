@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.numbering import numbered
-from .model import MAX_GROUPS, VALUELESS, Condition, CustomEvent, FilterGroup, Segmentation
+from .model import (
+    MAX_GROUPS, VALUELESS, AggregateProperty, AggregatePropertyPerGroup, Condition, CustomEvent, EventRef, EventSearch, FilterGroup, Funnel, GroupSearch, PropertyValues, Segmentation, TimeRange
+)
 
 DECIMAL = T.DecimalType(28, 16)
 TYPES = {
@@ -122,15 +125,86 @@ class Catalog:
             if not good:
                 raise ValueError(f"{v!r} is no {p.type}")
 
-    def validate_segmentation(self, r: Segmentation) -> None:
+    # Requests. columns: those of the table that is asked, whose names need not be in the catalog.
+
+    def _names(self, names: Iterable[str], columns: Iterable[str], what: str) -> None:
+        for n in names:
+            if n not in self.properties and n not in columns:
+                raise ValueError(f"{what}: no property {n}")
+
+    def _conditions(self, cs: Iterable[Condition], columns: Iterable[str]) -> None:
+        for c in cs:
+            if isinstance(c, FilterGroup):
+                self._conditions(c.parts, columns)
+            else:
+                self._names([c.prop], columns, "filter")
+                self.validate(c)
+
+    def _event(self, e: EventRef, columns: Iterable[str], what: str) -> None:
+        if e.custom and e.name not in self.custom_events:
+            raise ValueError(f"{what}: no custom event {e.name}")
+        self._conditions(e.filters, columns)
+
+    @staticmethod
+    def _scope(time: TimeRange, group: str | None = None) -> None:
+        if time.start and time.end and time.start > time.end:
+            raise ValueError("the time range ends before it starts")
+        if group is not None and not re.fullmatch(rf"group_[0-{MAX_GROUPS - 1}]", group):
+            raise ValueError(f"no group {group}")
+
+    def validate_segmentation(self, r: Segmentation, columns: Iterable[str] = ()) -> None:
         if not r.events or any(not e.metrics for e in r.events):
             raise ValueError("at least one event, and one metric for each")
-        if not re.fullmatch(rf"group_[0-{MAX_GROUPS - 1}]", r.group):
-            raise ValueError(f"no group {r.group}")
-        if r.time.start and r.time.end and r.time.start > r.time.end:
-            raise ValueError("the time range ends before it starts")
-        for c in (*r.filters, *(f for e in r.events for f in e.event.filters)):
-            self.validate(c)
+        self._scope(r.time, r.group)
+        self._conditions(r.filters, columns)
+        for e in r.events:
+            self._event(e.event, columns, "event")
+            self._names((*e.breakdowns, *r.breakdowns), columns, "breakdown")
+            self._names([m.prop for m in e.metrics if isinstance(m, AggregateProperty | AggregatePropertyPerGroup)], columns, "metric")
+        if len({s.name for s in r.segments}) < len(r.segments):
+            raise ValueError("two segments have the same name")
+        for c in (c for s in r.segments for alternative in s.any_of for c in alternative):
+            for e in (getattr(c, "event", None), getattr(c, "other", None)):
+                if e is not None:
+                    self._event(e, columns, "segment")
+            if getattr(c, "time", None) is not None:
+                self._scope(c.time)
+
+    def validate_funnel(self, f: Funnel, columns: Iterable[str]) -> None:
+        """What the request's own class cannot see: names, filters, the time, the group; its steps are checked as it is made."""
+        self._scope(f.time, f.group)
+        self._conditions(f.filters, columns)
+        for i, step in enumerate(f.steps):
+            if not step:
+                raise ValueError(f"step {i} has no events")
+            for e in step:
+                self._event(e, columns, f"step {i}")
+        for x in f.exclude:
+            self._event(x.event, columns, "exclude")
+        self._names(f.breakdowns, columns, "breakdown")
+        self._names(f.constants, columns, "constant")
+        if f.filter is not None and f.filter.kind == "drop_off_on" and not 0 < f.filter.step < len(f.steps):
+            raise ValueError("the filter's step is out of range")
+        if not isinstance(f.touch, str) and not 0 <= f.touch < len(f.steps):
+            raise ValueError("the touched step is out of range")
+
+    def validate_search(self, r: EventSearch | GroupSearch, columns: Iterable[str]) -> None:
+        self._scope(r.time)
+        self._conditions(r.filters, columns)
+        self._names(r.properties, columns, "property")
+        for e in getattr(r, "events", ()):
+            self._event(e, columns, "event")
+        if getattr(r, "sort", None) is not None:
+            self._names([r.sort[0]], columns, "sort")
+        if r.limit < 1:
+            raise ValueError("the limit is below 1")
+
+    def validate_values(self, r: PropertyValues, columns: Iterable[str]) -> None:
+        self._names([r.prop], columns, "property")
+        if r.event is not None:
+            self._event(r.event, columns, "event")
+        if r.filter is not None:
+            self._conditions([r.filter], columns)
 
 
 def build_dictionary(df: DataFrame, column: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import funnel as op
 
 
 def funnel(f: Funnel, events: DataFrame, catalog: Catalog, bin_ms: int = 3_600_000) -> DataFrame:
+    catalog.validate_funnel(f, events.columns)
     found = op.attempts(events, f, catalog)
     if f.chart == "frequency":
         return op.frequency(found, f)

@@ -20,6 +20,7 @@ def _shown(df: DataFrame, names: tuple[str, ...], catalog: Catalog, always: tupl
 
 def search_events(r: EventSearch, events: DataFrame, catalog: Catalog) -> DataFrame:
     """The newest events (by event_id) of those asked for; without events, of all."""
+    catalog.validate_search(r, events.columns)
     own = any_of(event_column(e, catalog) for e in r.events) if r.events else F.lit(True)
     rows = events.where((F.col("project_id") == r.project_id) & time_column(r.time) & own & conditions(r.filters, catalog))
     return _shown(rows, r.properties, catalog, ("event_id", "event", "created_at")).orderBy(F.desc("event_id")).limit(r.limit)
@@ -36,6 +37,7 @@ def event_by_id(event_id: int, events: DataFrame, project_id: int = 1) -> DataFr
 
 def search_groups(r: GroupSearch, versions: DataFrame, catalog: Catalog) -> DataFrame:
     """Latest profiles that meet both time and filters; sorted by a property, nulls last, or by id."""
+    catalog.validate_search(r, versions.columns)
     rows = latest(versions.where(F.col("project_id") == r.project_id)).where(time_column(r.time) & conditions(r.filters, catalog))
     rows = _shown(rows, r.properties, catalog, ("id",))
     order = [F.col("id")]
@@ -52,6 +54,7 @@ def group_by_id(id: int, versions: DataFrame, project_id: int = 1) -> DataFrame:
 
 def property_values(r: PropertyValues, events: DataFrame, catalog: Catalog) -> DataFrame:
     """(value): distinct values, ascending, nulls last."""
+    catalog.validate_values(r, events.columns)
     rows = events.where(F.col("project_id") == r.project_id)
     if r.event is not None:
         rows = rows.where(event_column(r.event, catalog))

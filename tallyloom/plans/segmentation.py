@@ -17,9 +17,9 @@ from ..operators import metrics, segments, shaping
 
 def wide(r: Segmentation, events: DataFrame, catalog: Catalog, profiles: DataFrame | None = None) -> list[DataFrame]:
     """For each event: segment, bucket, its and the request's breakdowns, m0, m1, ..."""
-    catalog.validate_segmentation(r)
+    catalog.validate_segmentation(r, events.columns)
     mine, out = events.where((F.col("project_id") == r.project_id) & conditions(r.filters, catalog)), []
-    names, who = [s.name for s in r.segments], None
+    who = None
     if r.segments:  # ids may be many: Spark broadcasts them only below its size limit
         who = segments.memberships(events.where(F.col("project_id") == r.project_id), r.segments, r.group, catalog, profiles, "_segment")
     for q in r.events:
@@ -32,8 +32,6 @@ def wide(r: Segmentation, events: DataFrame, catalog: Catalog, profiles: DataFra
             continue
         found = metrics.aggregate(rows.join(who, r.group), q.metrics, ["_segment", *keys], r.group, r.unit, catalog, r.time)
         out.append(found.select(F.col("_segment").alias("segment"), *[f"`{c}`" for c in found.columns if c != "_segment"]))
-    if len({*names}) < len(names):
-        raise ValueError("two segments have the same name")
     return out
 
 
@@ -72,7 +70,6 @@ def chart(r: Segmentation, events: DataFrame, catalog: Catalog, profiles: DataFr
     """A row per event, segment, breakdown values and metric; columns Average and a bucket each, greatest average first.
 
     Of each event, rows beyond the first `limit` of a value of its own breakdowns are left out."""
-    catalog.validate_segmentation(r)
     parts = []
     for q in r.events:
         long = compact(replace(r, events=(q,)), events, catalog, profiles)

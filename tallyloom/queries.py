@@ -20,10 +20,14 @@ from .model import (
     Segmentation, TimeRange,
 )
 from .operators import segments, shaping
+from .operators.coded import where_coded
 from .plans import records, segmentation
 from .plans.funnel import funnel
 from .sources.events import as_of, clickstream, customer_versions, latest, orders
+from .sources.shared import new_path
+from .sources.store import Table
 from .streaming import ingest, sessions
+from .streaming.executors import Ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 START, END = datetime(2024, 1, 3), datetime(2024, 1, 24, 23, 59, 59)
@@ -197,6 +201,28 @@ def _dictionary(s: SparkSession, d: str) -> DataFrame:
 
 add("dict_roundtrip", _dictionary, f"SELECT event, sum(k)::BIGINT AS ks, dense_rank() OVER (ORDER BY event) AS key FROM {EVENTS} GROUP BY event")
 
+
+
+def _coded(*conditions_: Filter | FilterGroup) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        e = clickstream(s, d)
+        words = {c: build_dictionary(e, c).persist() for c in ("band", "event")}
+        rows = e.select("event_id", "band", "event", "k")
+        for c, w in words.items():
+            rows = shaping.encode(rows, c, w)
+        return where_coded(rows, conditions_, CATALOG, words).select("event_id", F.col("band").alias("band_key"), F.col("event").alias("event_key"))
+
+    return run
+
+
+_keys = f"(SELECT event_id, k, band, event, CASE band WHEN 'high' THEN 1 WHEN 'low' THEN 2 END::BIGINT AS band_key, dense_rank() OVER (ORDER BY event) AS event_key FROM {EVENTS})"
+for _name, _filters, _sql in (
+    ("eq", (Filter("band", "eq", ("low", "none of them")), Filter("event", "neq", ("click",))), "band = 'low' AND event <> 'click'"), ("unknown", (Filter("event", "eq", ("none of them",)),), "FALSE"),
+    ("neq_unknown", (Filter("band", "neq", ("none of them",)), Filter("k", "lt", (60,))), "band IS NOT NULL AND k < 60"), ("like", (Filter("event", "like", ("%i%",)), Filter("band", "regex", ("^h",))), "event LIKE '%i%' AND band LIKE 'h%'"),
+    ("groups", (FilterGroup("or", (Filter("event", "not_like", ("%e%",)), FilterGroup("and", (Filter("band", "empty"), Filter("event", "gt", ("purchase",)))))),), "event NOT LIKE '%e%' OR (band IS NULL AND event > 'purchase')"),
+):
+    add(f"coded_{_name}", _coded(*_filters), f"SELECT event_id, band_key, event_key FROM {_keys} WHERE {_sql}")
+
 # --- segments -----------------------------------------------------------------------------------------------------
 
 
@@ -392,6 +418,89 @@ add("identify_merge", lambda s, d: _merged(customer_versions(s, d)), f"SELECT id
 add("grouped_conditions", lambda s, d: clickstream(s, d).where(conditions((FilterGroup("and", (Filter("k", "gt", (10,)), FilterGroup("or", (Filter("band", "eq", ("low",)), Filter("plan", "eq", ("0",)))))),), CATALOG)).groupBy("event").agg(F.count(F.lit(1)).alias("n")), f"SELECT event, count(*) AS n FROM {EVENTS} WHERE k > 10 AND (band = 'low' OR plan = '0') GROUP BY ALL")
 
 
+def _ingested(s: SparkSession, d: str) -> Ingest:
+    """All requests of the events, in two batches by time, the second of them twice."""
+    to = Ingest(s, new_path(s, "ingest"), s.createDataFrame([("t", 1)], "token string, project_id long"), GAP)
+    asked = _requests(s, d).select(F.lit("t").alias("token"), "body", F.get_json_object("body", "$.timestamp").alias("at")).persist()
+    for number, part in ((0, F.col("at") < "2024-01-15"), (1, F.col("at") >= "2024-01-15"), (1, F.col("at") >= "2024-01-15")):
+        to.track(asked.where(part).drop("at"), number)
+    asked.unpersist()
+    return to
+
+
+def _tracked(s: SparkSession, d: str) -> DataFrame:
+    to = _ingested(s, d)
+    price = to.catalog().properties["Price"].column
+    rows = to.events.scan().groupBy("event", F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group_0").alias("users"), F.sum(price).alias("price"), F.count("utm_medium").alias("campaigns"), F.sum("event_id").alias("ids"))
+    return plain(rows.withColumn("day", F.col("day").cast("timestamp_ntz")))
+
+
+_who = f"""(WITH f AS (SELECT uid, arg_min(aid, (created_at, aid)) AS first_aid FROM {_asked} WHERE uid IS NOT NULL GROUP BY uid)
+  SELECT r.*, CASE WHEN r.uid IS NULL THEN r.aid ELSE f.first_aid END AS who FROM {_asked} r LEFT JOIN f USING (uid))"""
+_begun = f"""(SELECT *, created_at - lag(created_at) OVER (PARTITION BY who ORDER BY created_at, event_id) <= INTERVAL 12 HOUR AS goes_on FROM {_who})"""
+_lines = f"""(SELECT *, row_number() OVER (ORDER BY created_at, source_id, place) AS id FROM (SELECT event, created_at, event_id AS source_id, 1 AS place, who, value, NULL AS medium FROM {_begun}
+  UNION ALL SELECT 'Session Begin', created_at, event_id, 0, who, value, band FROM {_begun} WHERE goes_on IS NOT TRUE))"""
+add("ingest_track", _tracked, f"""SELECT event, created_at::DATE::TIMESTAMP AS day, count(*) AS n, count(DISTINCT who) AS users, round(sum(value)::DOUBLE, 4) AS price, count(medium) AS campaigns, sum(id)::BIGINT AS ids FROM {_lines} GROUP BY ALL""")
+
+
+def _identified(s: SparkSession, d: str) -> DataFrame:
+    to = Ingest(s, new_path(s, "ingest"), s.createDataFrame([("t", 1)], "token string, project_id long"))
+    v = customer_versions(s, d)
+    said = F.struct(
+        F.lit("user").alias("group"), F.col("name").alias("id"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        F.struct(F.col("segment_name").alias("Segment"), F.when(F.col("version") == 1, F.lit(True)).alias("First"), F.col("balance").alias("Balance")).alias("properties"),
+    )
+    asked = v.select("version", F.lit("t").alias("token"), F.to_json(said).alias("body")).persist()
+    for number in (0, 1, 1):
+        to.identify(asked.where(F.col("version") <= 2 if number == 0 else F.col("version") > 2).drop("version"), number)
+    asked.unpersist()
+    kinds = {p.name: p.column for p in to.catalog().properties.values()}
+    rows = to.profile_columns().select(F.col("key").alias("name"), "version", "created_at", F.col(kinds["Segment"]).alias("segment_name"), F.col(kinds["First"]).alias("first"), F.col(kinds["Balance"]).alias("balance"))
+    return plain(rows, 2)
+
+
+add("ingest_identify", _identified, f"SELECT name, version, created_at, segment_name, TRUE AS first, round(balance::DOUBLE, 2) AS balance FROM {VERSIONS}")
+
+
+def _stored(s: SparkSession, d: str, replacing: bool) -> tuple[Table, DataFrame]:
+    rows = customer_versions(s, d) if replacing else clickstream(s, d)
+    table = Table(s, new_path(s, "store"), ("project_id", "id") if replacing else ("project_id", "group_0"), replacing)
+    table.add_fields(rows.schema.fields)
+    return table, rows
+
+
+def _compacted(s: SparkSession, d: str) -> DataFrame:
+    table, rows = _stored(s, d, False)
+    for i in range(3):
+        table.insert(rows.where(F.col("event_id") % 3 == i), ("all", i))
+    table.compact()
+    table.insert(rows.where("event_id % 3 = 2"), ("all", 2))
+    return plain(table.scan(["event_id", "group_0", "event", "band", "value"]))
+
+
+def _versions_stored(s: SparkSession, d: str) -> Table:
+    table, rows = _stored(s, d, True)
+    for v in (2, 1, 3):
+        table.insert(rows.where(F.col("version") == v))
+    table.compact()
+    changed = table.get(project_id=1, id=5).withColumns({"version": F.col("version") + 1, "name": F.lit("changed")})
+    if table.replace(changed, 99) or not table.replace(changed, table.get(project_id=1, id=5).first()["version"]):
+        raise AssertionError("the version that is expected decides")
+    return table
+
+
+add("store_compact", _compacted, f"SELECT event_id, group_0, event, band, round(value::DOUBLE, 4) AS value FROM {EVENTS}")
+add("store_replace", lambda s, d: plain(_versions_stored(s, d).scan(), 2), f"SELECT project_id, id, CASE id WHEN 5 THEN version + 1 ELSE version END AS version, created_at, CASE id WHEN 5 THEN 'changed' ELSE name END AS name, segment_name, round(balance, 2) AS balance FROM {_latest}")
+add("store_as_of", lambda s, d: plain(as_of(clickstream(s, d).select("group_0", "created_at", "event_id"), _stored_versions(s, d)).select("event_id", "profile_version", "profile_balance"), 2),
+    f"SELECT e.event_id, v.version AS profile_version, round(v.balance, 2) AS profile_balance FROM {EVENTS} e ASOF LEFT JOIN {VERSIONS} v ON v.id = e.group_0 AND v.created_at <= e.created_at")
+
+
+def _stored_versions(s: SparkSession, d: str) -> DataFrame:
+    table, rows = _stored(s, d, True)
+    table.insert(rows)
+    return table.raw()
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily clicks and users by band and plan."""
     request = Segmentation(TIME, "day", (EventQuery(CLICK, (CountEvents(), CountUniqueGroups(), AggregateProperty("value", "sum")), ("band", "plan")),))

@@ -166,3 +166,34 @@ def test_columns_of_a_chart(spark):
     events = spark.createDataFrame([(1, datetime(2024, 1, 1), "e", 1, "yes")], "project_id long, created_at timestamp_ntz, event string, group_0 long, `2fa` string")
     roles = segmentation.roles(segmentation.chart(request, events, Catalog()), request)
     assert roles == {"Event": "dimension", "Segment": "dimension", "2fa": "dimension", "Formula": "dimension", "Average": "metric", "2024-01-01T00:00:00": "metricValue", "2024-01-02T00:00:00": "metricValue"}
+
+
+def test_requests_are_validated():
+    from tallyloom.model import EventSearch, Funnel, FunnelFilter, GroupSearch, PropertyValues
+
+    c, columns = Catalog(), ["band", "flag"]
+    c.add("Plan", "string")
+    c.add("Seats", "int32", nullable=False)
+    time, steps = M.TimeRange(datetime(2024, 1, 1), datetime(2024, 1, 2)), ((EventRef("a"),), (EventRef("b"),))
+    c.validate_funnel(Funnel(time, steps, timedelta(1), breakdowns=("Plan", "band"), filters=(Filter("Seats", "gt", (1,)),)), columns)
+    late = M.TimeRange(time.end, time.start)
+    for bad in (
+        Funnel(late, steps, timedelta(1)), Funnel(time, steps, timedelta(1), group="group_7"), Funnel(time, (steps[0], ()), timedelta(1)), Funnel(time, ((EventRef("x", custom=True),),), timedelta(1)),
+        Funnel(time, steps, timedelta(1), breakdowns=("none",)), Funnel(time, steps, timedelta(1), constants=("none",)), Funnel(time, steps, timedelta(1), filters=(Filter("Plan", "gt", ("x",)),)),
+        Funnel(time, ((EventRef("a", (Filter("Seats", "empty"),)),),), timedelta(1)), Funnel(time, steps, timedelta(1), filter=FunnelFilter("drop_off_on", 5)), Funnel(time, steps, timedelta(1), touch=4),
+        Funnel(time, steps, timedelta(1), exclude=(M.Exclude(EventRef("x", (Filter("none", "exists"),))),)),
+    ):
+        with pytest.raises(ValueError):
+            c.validate_funnel(bad, columns)
+    for bad in (EventSearch(late), EventSearch(time, filters=(FilterGroup("or", (Filter("Plan", "true"),)),)), EventSearch(time, properties=("none",)), GroupSearch(sort=("none", "asc")), EventSearch(time, limit=0)):
+        with pytest.raises(ValueError):
+            c.validate_search(bad, columns)
+    for bad in (PropertyValues("none"), PropertyValues("band", EventRef("x", custom=True)), PropertyValues("band", filter=Filter("Seats", "like", ("x",)))):
+        with pytest.raises(ValueError):
+            c.validate_values(bad, columns)
+    query = lambda m, **more: M.Segmentation(time, "day", (M.EventQuery(EventRef("a"), (m,)),), **more)
+    c.validate_segmentation(query(M.AggregateProperty("Seats", "sum"), breakdowns=("band",)), columns)
+    twice = M.Segment("s", ((M.DidEventCount(EventRef("a"), "gte", 1),),))
+    for bad in (query(M.AggregateProperty("none", "sum")), query(M.CountEvents(), breakdowns=("none",)), query(M.CountEvents(), segments=(twice, twice)), query(M.CountEvents(), group="user")):
+        with pytest.raises(ValueError):
+            c.validate_segmentation(bad, columns)
