@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
@@ -12,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
+
 #: White space that separates words: \x20 and \x09-\x0D, which is what bytes.split() splits on.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -36,26 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); where it is unset, as in tests, a new one.
-
-    A folder of its own is only for one machine; a cluster has to name one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
-    if not found:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def settle(df: DataFrame, label: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Write df into the shared folder and read it again: cuts the lineage, survives lost executors, and lets
     the planner see the true size (a later join broadcasts it only below spark.sql.autoBroadcastJoinThreshold)."""

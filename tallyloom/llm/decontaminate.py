@@ -40,7 +40,8 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 #: What may stand around a word that is taken as it is.
 _BEFORE, _AFTER = "\"'“”‘’«»([{", "\"'“”‘’«»)]}.,;:!?"
 WORD, NUMBER, UNIT, NOTHING = range(4)
-OPENING = 2  # the form in which words that open sentences are slots
+#: Forms of a window: names as slots, names as words, words that open sentences as slots too, words as they stand.
+SLOTS, NAMED, OPENING, LITERAL = range(4)
 _BREAK = "\x01"
 #: A word's kind, whether it looks like a name, whether it ends a sentence, its hash, and that of it as it stands (0: none).
 _SYMBOL = [("k", "i1"), ("n", "?"), ("e", "?"), ("h", "u8"), ("l", "u8")]
@@ -170,9 +171,9 @@ def _among(rolled: np.ndarray, bits: np.ndarray | None) -> np.ndarray | bool:
     return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
-def _windows(s: Symbols, widths: list[int], exact: list[int], whole: int, bits: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]], bool]]:
-    """Of windows that the filter lets pass: their hashes, texts, places, slots' kinds and values, and whether words that open
-    sentences are slots (only in windows of `whole` symbols, as one word more or less is much of a shorter item). A window counts
+def _windows(s: Symbols, widths: list[int], exact: list[int], whole: int, bits: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]], int]]:
+    """Of windows that the filter lets pass: their hashes, texts, places, slots' kinds and values, and the form. Words that open
+    sentences are slots only in windows of `whole` symbols, as one word more or less is much of a shorter item. A window counts
     if at least half of it, and two words, are words. exact: widths of windows of the words as they stand, which have no slots."""
     begins = np.searchsorted(s.owner, np.arange(s.owner[-1] + 1)) if len(s.owner) else np.zeros(0, np.int64)
     for width, (form, (h, slot)) in product(widths, enumerate(s.forms)):
@@ -193,14 +194,14 @@ def _windows(s: Symbols, widths: list[int], exact: list[int], whole: int, bits:
             places = p[:, None] + np.arange(width)
             words, kinds = s.words.take(pa.array(s.code[places.ravel()])).to_pylist(), s.kind[places].ravel().tolist()
             slots = [[f"{kinds[j]}:{_strip(words[j])}" for j in range(i * width, (i + 1) * width) if own[j - i * width]] for i, own in enumerate(slot[places].tolist())]
-            yield rolled[p], s.owner[p], p - begins[s.owner[p]], slots, form == OPENING
+            yield rolled[p], s.owner[p], p - begins[s.owner[p]], slots, form
     begins = np.searchsorted(s.literal_owner, np.arange(s.literal_owner[-1] + 1)) if len(s.literal_owner) else np.zeros(0, np.int64)
     for width in exact:
         n = len(s.literal) - width + 1
         if n > 0:
             rolled = _roll(s.literal, width, width + (1 << 32))
             p = np.flatnonzero((s.literal_owner[:n] == s.literal_owner[width - 1 :]) & _among(rolled, bits))
-            yield rolled[p], s.literal_owner[p], p - begins[s.literal_owner[p]], [[]] * len(p), False
+            yield rolled[p], s.literal_owner[p], p - begins[s.literal_owner[p]], [[]] * len(p), LITERAL
 
 
 def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], exact: list[int], whole: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -210,15 +211,15 @@ def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], exact: list[int]
         size = pc.binary_length(batch.column(2)).to_numpy()
         for a, b in stretches(size, CHUNK_BYTES):
             with np.errstate(over="ignore"):
-                for rolled, owner, pos, slots, opening in _windows(templates.symbols(batch.column(2)[a:b]), widths, exact, whole, bits):
+                for rolled, owner, pos, slots, form in _windows(templates.symbols(batch.column(2)[a:b]), widths, exact, whole, bits):
                     at = pa.array(a + owner)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(rolled.view(np.int64)), pa.array(pos, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(np.full(len(pos), opening))],
-                        names=["id", "text_hash", "hash", "pos", "slots", "opening"],
+                        [batch.column(0).take(at), batch.column(1).take(at), pa.array(rolled.view(np.int64)), pa.array(pos, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(np.full(len(pos), form, np.int32))],
+                        names=["id", "text_hash", "hash", "pos", "slots", "form"],
                     )
 
 
-_ROWS = "id long, text_hash long, hash long, pos long, slots array<string>, opening boolean"
+_ROWS = "id long, text_hash long, hash long, pos long, slots array<string>, form int"
 
 
 def _texts(df: DataFrame, key: str) -> DataFrame:
@@ -251,11 +252,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
 
     docs: doc_id, text; benchmark: item_id, text; other columns are not read. An item leaks into a document if at least
     coverage of its windows of `window` template symbols occur there, counting only alignments in which equal slot values of
-    the item have equal values in the document, and its different names different ones. In items of at least a window, names that open sentences are slots too. reworded: some slot's value differs. Windows with too few plain words are not
-    counted; an item that has no others is looked for by windows of its words as they stand, with numbers and operators, so that
+    the item have equal values in the document, and its different names different ones. Names are slots, or words where all windows with few enough slots are counted together; in
+    items of at least a window, names that open sentences are slots too. reworded: some slot's value differs. Windows with too few
+    plain words are not counted; an item that has no others is looked for by windows of its words as they stand, with numbers and operators, so that
     its copies are found (but not if it is shorter than a window and has no plain word: such a run of numbers is no item).
     Items shorter than a window are one window. Null or empty texts hold nothing and are no items; copies of a row
-    are reported once; a null doc_id is reported as null. Empty tables: empty result."""
+    are reported once; a null doc_id is reported as null, an item without an item_id is none. Empty tables: empty result."""
     items = settle(_texts(benchmark, "item_id"), "items")
     lengths = settle(items.mapInArrow(_length, "id long, text_hash long, n long, plain long, words long"), "lengths")
     schema = "doc_id long, item_id long, matched long, n_windows long, reworded boolean, text_hash long"
@@ -279,17 +281,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
         for w in exact:
             known = known.unionByName(scanned(wide, w, widths=[], exact=[w]).distinct())
         known = settle(known, "templates")
-    sizes = known.groupBy("id", "text_hash").agg(F.countDistinct("pos").alias("n_windows"))
-    known = settle(known.join(sizes, ["id", "text_hash"]).select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "hash", F.col("pos").alias("at"), F.col("slots").alias("item_slots"), F.col("opening").alias("item_opening"), "n_windows"), "templates")
+    sizes = known.groupBy("id", "text_hash").agg(F.countDistinct("pos").alias("n_windows"), F.countDistinct(F.when(F.col("form") == SLOTS, F.col("pos"))).alias("n_slots"))
+    known = settle(known.join(sizes, ["id", "text_hash"]).select(F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), "hash", F.col("pos").alias("at"), F.col("slots").alias("item_slots"), F.col("form").alias("item_form"), "n_windows", "n_slots"), "templates")
     bits = _filter(known)
     if bits is None:
         return docs.sparkSession.createDataFrame([], schema)
     seen = settle(_texts(docs, "doc_id").mapInArrow(partial(_scan, widths=widths, exact=exact, whole=window, bits=bits), _ROWS), "hits")
     pairs = seen.withColumnRenamed("id", "doc_id").join(known, "hash")
     pairs = pairs.withColumn("filled", F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
-    # An alignment counts without the words that open sentences as slots, or with them: these may fit it or spoil it.
-    pairs = pairs.withColumn("openings", F.explode(F.when(F.col("opening") | F.col("item_opening"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
-    key = ["doc_id", "text_hash", "item_id", "item_hash", "n_windows", "openings"]
+    # An alignment counts without the words that open sentences as slots, or with them: these may fit it or spoil it. Windows with
+    # names as slots count for themselves as well, if they are half of an item's and 3 at least: in a question of many slots
+    # the others hold names, and stand in no text with other names.
+    open_ = (F.col("form") == OPENING) | (F.col("item_form") == OPENING)
+    alone = (F.col("form") == SLOTS) & (F.col("item_form") == SLOTS) & (F.col("n_slots") >= 3) & (2 * F.col("n_slots") >= F.col("n_windows"))
+    views = F.array(F.when(~open_, F.lit("plain")), F.lit("openings"), F.when(alone, F.lit("slots")))
+    pairs = pairs.withColumn("view", F.explode(F.filter(views, lambda v: v.isNotNull())))
+    pairs = pairs.withColumn("least", F.ceil(F.lit(coverage) * F.when(F.col("view") == "slots", F.col("n_slots")).otherwise(F.col("n_windows"))))
+    key = ["doc_id", "text_hash", "item_id", "item_hash", "n_windows", "view", "least"]
     aligned = pairs.groupBy(*key, (F.col("pos") - F.col("at")).alias("shift")).agg(
         F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_list("filled"))).alias("filled")
     )
@@ -298,7 +306,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
     aligned = aligned.where(one_to_one)
     other = F.exists("filled", lambda x: ~x["a"].eqNullSafe(x["b"]))
     found = aligned.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.max(other).alias("reworded"))
-    found = found.where(F.col("matched") >= F.ceil(F.lit(coverage) * F.col("n_windows")))
+    found = found.where(F.col("matched") >= F.col("least"))
     return found.groupBy("doc_id", "item_id", "text_hash").agg(F.max("matched").alias("matched"), F.max("n_windows").alias("n_windows"), F.max("reworded").alias("reworded")).select(
         "doc_id", "item_id", "matched", "n_windows", "reworded", "text_hash"
     )

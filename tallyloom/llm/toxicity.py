@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import crc32_text, settle
 from .superminhash import chunks
 
-#: At most so many labelled documents, the first by a hash of doc_id, are used for training.
-MAX_TRAIN = 10_000
+#: At most so many labelled documents, the first by a hash of doc_id, are used for training; of those that share a doc_id one.
+MAX_TRAIN = 12_000
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 #: Pieces of a word besides itself: its first so many letters.
 STEMS = (3, 4, 5, 6, 7)
@@ -135,6 +135,26 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
+def gradients(model: Model, ids: list[np.ndarray], y: np.ndarray, pieces: np.ndarray, ridge: float = 1e-4) -> tuple[list[np.ndarray], float]:
+    """Of the mean logistic loss (and ridge / 2 times out's square): by embedding, filters, biases and out; and by the offset."""
+    weights, k = [model.embedding, *model.filters, *model.bias, model.out], len(WIDTHS)
+    top, places, flat, words = pooled(ids, pieces, model, where=True)
+    hidden = np.maximum(top + np.concatenate(model.bias), 0)
+    error = (_sigmoid(hidden @ model.out + model.offset) - y) / len(y)
+    back = np.outer(error, model.out) * (hidden > 0)
+    grads = [np.zeros_like(w) for w in weights]
+    for j, w in enumerate(WIDTHS):
+        cols = slice(j * FILTERS, (j + 1) * FILTERS)
+        for o in range(w):
+            spot = np.minimum(places[:, cols] + o, len(flat) - 1)
+            grads[1 + j][o] = np.einsum("bfd,bf->df", words[spot], back[:, cols])
+            np.add.at(grads[0], pieces[flat[spot]], (back[:, cols, None] * model.filters[j][o].T[None])[:, :, None, :])
+        grads[1 + k + j][:] = back[:, cols].sum(0)
+    grads[-1][:] = hidden.T @ error + ridge * model.out
+    grads[0][_NO_PIECE] = 0
+    return grads, float(error.sum())
+
+
 def train(ids: list[np.ndarray], y: np.ndarray, languages: list[str | None], pieces: np.ndarray, epochs: int = 4, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Model:
     """Embeddings start from the log odds of pieces in 2 of 5 texts, one dimension for each kind of piece; Adam fits the network
     to 2 others, which these odds do not know; the last scales the scores (Platt) and sets each language's threshold.
@@ -164,30 +184,17 @@ def train(ids: list[np.ndarray], y: np.ndarray, languages: list[str | None], pie
         b -= 0.5
     weights = [embedding, *filters, *model.bias, model.out]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    offset_state, step, k = [0.0, 0.0], 0, len(WIDTHS)
+    offset_state, step = [0.0, 0.0], 0
     for _ in range(epochs):
         for at in range(0, len(learn), batch):
             part = learn[at : at + batch]
-            top, places, flat, words = pooled([ids[i] for i in part], pieces, model, where=True)
-            hidden = np.maximum(top + np.concatenate(model.bias), 0)
-            error = (_sigmoid(hidden @ model.out + model.offset) - y[part]) / len(part)
-            back = np.outer(error, model.out) * (hidden > 0)
-            grads = [np.zeros_like(w) for w in weights]
-            for j, w in enumerate(WIDTHS):
-                cols = slice(j * FILTERS, (j + 1) * FILTERS)
-                for o in range(w):
-                    spot = np.minimum(places[:, cols] + o, len(flat) - 1)
-                    grads[1 + j][o] = np.einsum("bfd,bf->df", words[spot], back[:, cols])
-                    np.add.at(grads[0], pieces[flat[spot]], (back[:, cols, None] * filters[j][o].T[None])[:, :, None, :])
-                grads[1 + k + j][:] = back[:, cols].sum(0)
-            grads[-1][:] = hidden.T @ error + 1e-4 * model.out
-            grads[0][_NO_PIECE] = 0
+            grads, error = gradients(model, [ids[i] for i in part], y[part], pieces)
             step += 1
             for w, g, m, v in zip(weights, grads, first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 w -= (rate * (0.1 if w is embedding else 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-            g = float(error.sum())
+            g = error
             offset_state = [offset_state[0] + 0.1 * (g - offset_state[0]), offset_state[1] + 0.01 * (g * g - offset_state[1])]
             model.offset -= rate * (offset_state[0] / (1 - 0.9**step)) / ((offset_state[1] / (1 - 0.99**step)) ** 0.5 + 1e-6)
         learn = rng.permutation(learn)
@@ -244,9 +251,13 @@ def held_out_rows():
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Train on at most max_train labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("y")).where("doc_id is not null and y is not null")
-    chosen = settle(known.where(~held_out_rows()).orderBy(F.xxhash64("doc_id"), "y").limit(max_train), "sample")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "y", "lang", "doc_id").repartition(1).mapInArrow(_train, "model binary")
+    known = known.where(~held_out_rows()).groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    # By a count the share of labels that is about to be the sample; so each task hands on its part of it only.
+    share = min(1.0, 1.2 * max_train / max(1, known.count()))
+    chosen = settle(known.where(F.col("h") <= F.lit(min(2**63 - 1, int((2 * share - 1) * 2**63)))).orderBy("h", "doc_id").limit(max_train).drop("h"), "sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).alias("said"))
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("said", F.xxhash64("said")).alias("said"))
+    rows = one.select("said.text", "y", "said.lang", "doc_id").repartition(1).mapInArrow(_train, "model binary")
     found = rows.first()
     return pickle.loads(found[0]) if found else train([], np.zeros(0), [], Hasher().pieces())
 
