@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import release, settle
 
 #: What surrounds a turn in the rendered text.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -39,8 +39,14 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, copies): one conversation of each content that no longer one continues."""
+    """Settled (conv_id, n_turns, copies): one conversation of each content that no longer one continues."""
     rows = settle(prefix_hashes(turns), "prefixes")
+    kept = settle(_longest(rows), "maximal")
+    release(rows)
+    return kept
+
+
+def _longest(rows: DataFrame) -> DataFrame:
     whole = rows.where("i = n").groupBy("n", "p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
     longer = rows.where("i < n").select(F.col("i").alias("n"), "p1", "p2").distinct()
     return whole.join(longer, ["n", "p1", "p2"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "copies")
@@ -53,7 +59,7 @@ def collapse(turns: DataFrame) -> DataFrame:
     copies counts them. Turns stand in the order of turn, ties in that of a hash; repeated rows of a conversation count
     once. Rows without a conv_id form one conversation, which stays under a null id unless an equal one has an id. Null
     role or text is different from an empty one, but renders as empty. Empty table: empty result."""
-    kept = settle(maximal(turns), "maximal")
+    kept = maximal(turns)
     rows = _base(turns)
     chosen = rows.join(kept, rows["conv_id"].eqNullSafe(kept["conv_id"])).select(rows["*"], "n_turns", "copies")
     said = F.array_sort(F.collect_set(F.struct("turn", "h1", "h2", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))

@@ -11,6 +11,8 @@ from .common import release, settle
 def components(links: DataFrame) -> DataFrame:
     """links (a long, b long) -> settled (node, component_id): component_id is the smallest node of the component.
 
+    Links with a null end and links of a node to itself say nothing; repeated ones count once; no links, no rows.
+
     Each pass hooks every vertex to the neighbour (or itself) that comes first in a hashed order and contracts the
     graph by that map. In a hashed order a path has no long runs, so passes grow with the logarithm of the
     diameter. A vertex with very many links only adds rows to a partial minimum and to joins that AQE can split."""

@@ -313,6 +313,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cove
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows into which a benchmark item leaked; all columns stay."""
+    """docs without the rows into which a benchmark item leaked; all columns stay, whatever their names.
+
+    Null and empty texts stay; of repeated rows all stay or go. Empty docs: empty result; empty benchmark: docs."""
     bad = settle(find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_own_id"), F.col("text_hash").alias("_own_hash")).distinct(), "leaks")
     return without(docs, bad)

@@ -274,11 +274,15 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def frames_table(media: DataFrame) -> DataFrame:
-    """A row per timed frame of media (doc_id, media): frame, starts_cs, delay_cs, disposal, histogram of 64 colours."""
+    """A row per timed frame of media (doc_id, media): frame, starts_cs, delay_cs, disposal, histogram of 64 colours.
+
+    A null media has no frames, a null doc_id stays; repeated rows repeat; a file that is no GIF is an error. Empty in, empty out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if data is None:
+                    continue
                 t, rows = 0, []
                 for i, f in enumerate(decode(data)):
                     rows.append({"doc_id": doc, "frame": i, "starts_cs": t, "delay_cs": f.delay, "disposal": f.disposal, "histogram": f.histogram().tolist()})

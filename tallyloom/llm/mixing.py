@@ -12,7 +12,7 @@ from math import gcd, isqrt, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, fresh, lookup, settle
+from .common import WORD_CLASS, fresh, lookup, release, settle
 
 #: Sources in code-point order weigh these, repeating.
 WEIGHTS = (5, 2, 1)
@@ -104,7 +104,9 @@ def schedule(planned: DataFrame, n: int) -> DataFrame:
     bases = settle(counts.select("sid", "piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "bases")
     within = Window.partitionBy("sid", "piece").orderBy("slot")
     ranked = slots.withColumn("inner", F.row_number().over(within) - 1).join(bases, ["sid", "piece"]).withColumn("rank", F.col("inner") + F.col("base"))
-    return settle(ranked.select("slot", "sid", "rank", F.expr("rank DIV n_blocks").alias("epoch"), F.expr("rank % n_blocks").alias("block")), "schedule")
+    found = settle(ranked.select("slot", "sid", "rank", F.expr("rank DIV n_blocks").alias("epoch"), F.expr("rank % n_blocks").alias("block")), "schedule")
+    release(owners, slots, bases)
+    return found
 
 
 def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -132,6 +134,7 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tupl
     ordered = placed.withColumn("hi", F.sum("size").over(within)).join(settle(bases, "bases"), ["sid", "bucket"])
     ordered = ordered.withColumn("hi", F.col("hi") + F.col("base")).withColumn("lo", F.col("hi") - F.col("size"))
     kept = settle(ordered.select("doc_id", "size", "source_size", "target", "sid", "n_blocks", "want", "lo", "hi"), "streams")
+    release(sizes, placed)
     shown = ["doc_id", "size", "source_size", "target"]
     none = kept if not n else kept.where("size = 0")
     none = none.select(*shown, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("array<long>").alias("slots"), "lo")

@@ -130,6 +130,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
     apart = sites.agg(F.sum(F.col("n") * (F.col("s") / F.col("n") - upper) ** 2) / n, F.count(F.lit(1))).first()
     k_path = _strength(mean, apart[0], mean * (1 - mean) * apart[1] / n)
     sites = settle(sites.withColumn("n_docs", F.col("n")), "sites")
+    release(seen, paths, hosts)
 
     both = lookup(scored, sites, ["host", "path"], "n_docs", F.col("text_hash"))
     by_host = (F.col("host_s") - F.col("p") + k_host * mean) / (F.col("host_n") - 1 + k_host)
@@ -142,6 +143,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows that score_documents rejects; all columns stay."""
+    """docs without the rows that score_documents rejects; all columns stay, whatever their names.
+
+    Null texts are judged as empty ones, null doc_ids as any; of repeated rows all stay or go. Empty table: empty result."""
     bad = score_documents(docs, labels, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_own_id"), F.col("text_hash").alias("_own_hash")).distinct()
     return without(docs, settle(bad, "rejected"))

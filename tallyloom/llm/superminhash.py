@@ -160,7 +160,9 @@ def full_sets(source: DataFrame, kinds: DataFrame, wanted: DataFrame, width: int
     rows = settle(rows, "wanted")
     near, _ = sift(source, bit_filter(rows, F.xxhash64("_own_id", "_own_hash")), row_hash(source))
     texts = near.join(rows.hint("merge"), same_row(near, rows)).select("node", "text").dropDuplicates(["node"])
-    return settle(texts.mapInArrow(partial(_tokens, width=width), "node long, tokens array<long>"), "sets")
+    sets = settle(texts.mapInArrow(partial(_tokens, width=width), "node long, tokens array<long>"), "sets")
+    release(rows)
+    return sets
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_text, settle
+from .common import crc32_text, release, settle
 from .superminhash import chunks
 
 #: At most so many labelled documents, the first by a hash of doc_id, are used for training; of those that share a doc_id one.
@@ -259,6 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("said", F.xxhash64("said")).alias("said"))
     rows = one.select("said.text", "y", "said.lang", "doc_id").repartition(1).mapInArrow(_train, "model binary")
     found = rows.first()
+    release(chosen)
     return pickle.loads(found[0]) if found else train([], np.zeros(0), [], Hasher().pieces())
 
 

@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, new_path, settle
+from .common import bit_filter, lookup, new_path, release, settle, sift
 
 DATE = "2024-01-01T00:00:00Z"
 #: A new archive is begun after so many bytes of records; members are read in stretches of about so many.
@@ -135,16 +135,20 @@ def write_monolithic(pages: DataFrame, folder: str, min_bytes: int = 0, prefix:
     """Write a record per row of pages (page_id, url, payload string) into archives of one gzip stream each.
 
     Of rows with equal payloads of at least min_bytes bytes the one with the largest page_id is a response, the others
-    revisit it. A payload that very many pages share is looked up in a broadcast (see common.lookup), so its pages stay
-    spread. Returns settled (path, records)."""
+    revisit it. Payloads that surely stand alone are not shuffled; one that very many pages share is looked up in a broadcast
+    (see common.lookup), so its pages stay spread. Returns settled (path, records)."""
     source = pages.withColumn("digest", F.sha1(F.coalesce(F.col("payload"), F.lit("")).cast("binary")))
     big = source.where(F.coalesce(F.octet_length("payload"), F.lit(0)) >= min_bytes) if min_bytes > 0 else source
     groups = big.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first_id")).where("n > 1")
-    placed = lookup(source, settle(groups, "payloads"), ["digest"], "n", F.struct("page_id", "url"))
+    groups = settle(groups, "payloads")
+    near, alone = sift(source, bit_filter(groups, F.xxhash64("digest")), F.xxhash64("digest"))
+    placed = lookup(near, groups, ["digest"], "n", F.struct("page_id", "url")).unionByName(alone.withColumn("first_id", F.lit(None).cast("long")))
     enough = F.coalesce(F.octet_length("payload"), F.lit(0)) >= min_bytes
     refers = F.when(enough & ~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))
     rows = placed.select("page_id", "url", "payload", refers.alias("refers_to"))
-    return settle(rows.mapInArrow(partial(_write, folder=folder, prefix=prefix, level=level), "path string, records long"), "manifest")
+    manifest = settle(rows.mapInArrow(partial(_write, folder=folder, prefix=prefix, level=level), "path string, records long"), "manifest")
+    release(groups)
+    return manifest
 
 
 def normalise_file(path: str, folder: str, level: int = 6) -> tuple[str, str, int]:
