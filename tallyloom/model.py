@@ -114,7 +114,15 @@ class Formula:
     text: str
 
 
-Metric = CountEvents | CountUniqueGroups | ActiveGroups | CountPerGroup | AggregateProperty | AggregatePropertyPerGroup | Formula
+@dataclass(frozen=True)
+class CustomMetric:
+    """A metric of one's own: sql is an aggregate expression over the event's rows, by the table's columns."""
+
+    name: str
+    sql: str
+
+
+Metric = CustomMetric | CountEvents | CountUniqueGroups | ActiveGroups | CountPerGroup | AggregateProperty | AggregatePropertyPerGroup | Formula
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..catalog import DECIMAL, Catalog
 from ..functions.buckets import bucket, floor
 from ..functions.predicates import time_column
-from ..model import ActiveGroups, Agg, AggregateProperty, AggregatePropertyPerGroup, CountEvents, CountPerGroup, CountUniqueGroups, Formula, Metric, TimeRange, Unit
+from ..model import ActiveGroups, Agg, AggregateProperty, AggregatePropertyPerGroup, CountEvents, CountPerGroup, CountUniqueGroups, CustomMetric, Formula, Metric, TimeRange, Unit
 
 SIMPLE = ("count", "sum", "min", "max", "avg")
 
@@ -46,6 +46,8 @@ def label(m: Metric) -> str:
             return f"{m.outer.capitalize()} of {m.inner.capitalize()} {m.prop} Per Group"
         case Formula():
             return m.text
+        case CustomMetric():
+            return m.name
 
 
 def _returns(agg: str, kind: str) -> str:
@@ -111,6 +113,7 @@ def aggregate(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], gro
     own: dict[str, AggregateProperty] = {}
     later: dict[str, Formula] = {}
     trailing: dict[str, ActiveGroups] = {}
+    extra: dict[str, CustomMetric] = {}
     has = F.col(f"`{group}`").isNotNull()
 
     def part(agg: Agg, prop: str) -> str:
@@ -141,12 +144,14 @@ def aggregate(df: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], gro
                 own[name] = m
             case Formula():
                 later[name] = m
+            case CustomMetric():
+                extra[name] = m
     out = None
     if outer or later:
         per_group = any(isinstance(m, CountUniqueGroups | CountPerGroup | AggregatePropertyPerGroup) for m in metrics)
         # Without a per-group metric the first aggregate is by key alone, and the second needs no further exchange.
         out = base.groupBy(*by, *([group] if per_group else [])).agg(*[c.alias(n) for n, c in inner.items()]).groupBy(*by).agg(*[c.alias(n) for n, c in outer.items()] or [F.sum("_n").alias("_n")])
-    sides = []
+    sides = [base.groupBy(*by).agg(*[F.expr(m.sql).alias(n) for n, m in extra.items()])] if extra else []
     sketched = {n: m for n, m in own.items() if m.approximate}
     if sketched:
         sides.append(base.groupBy(*by).agg(*[plain(m.agg, F.col(f"`{catalog.column(m.prop)}`")).alias(n) for n, m in sketched.items()]))

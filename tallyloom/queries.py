@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, timedelta
@@ -15,7 +16,7 @@ from .functions.buckets import bucket
 from .functions.numbering import numbered
 from .functions.predicates import conditions
 from .model import (
-    ActiveGroups, AggregateProperty, AggregatePropertyPerGroup, CountEvents, CountPerGroup, CountUniqueGroups, CustomEvent, DidEventAfterFirstUse, DidEventAggregate, DidEventCount, DidEventEach,
+    ActiveGroups, AggregateProperty, AggregatePropertyPerGroup, CountEvents, CountPerGroup, CountUniqueGroups, CustomEvent, CustomMetric, DidEventAfterFirstUse, DidEventAggregate, DidEventCount, DidEventEach,
     DidEventRelative, EventQuery, EventRef, EventSearch, Exclude, Filter, FilterGroup, Formula, Funnel, FunnelFilter, GroupSearch, HadPropertyValue, HasPropertyValue, PropertyValues, Segment,
     Segmentation, TimeRange,
 )
@@ -25,7 +26,7 @@ from .plans import records, segmentation
 from .plans.funnel import funnel
 from .sources.events import as_of, clickstream, customer_versions, latest, orders
 from .sources.shared import new_path
-from .sources.store import Table
+from .sources.store import Table, compact_json, csv_events
 from .streaming import ingest, sessions
 from .streaming.executors import Ingest
 
@@ -122,6 +123,9 @@ add("seg_typed", lambda s, d: segmentation.typed(Segmentation(TIME, "week", (Eve
   (SELECT min(created_at) AS created_at, date_trunc('week', created_at) AS w, group_0, count(*) AS n, sum(k) AS ks FROM {EVENTS} WHERE event = 'click' AND {IN_TIME} GROUP BY w, group_0) GROUP BY ALL""")
 add("seg_pie", lambda s, d: plain(segmentation.shown(replace(one(CountEvents(), breakdowns=("band",)), chart_type="pie"), clickstream(s, d), CATALOG)), f"""SELECT 'click' AS event, 'all' AS segment, band, 'Count Events' AS agg_name, count(*)::DOUBLE AS value,
   round(count(*) / sum(count(*)) OVER (), 4) AS share FROM {EVENTS} WHERE event = 'click' AND {IN_TIME} GROUP BY band""")
+_own = CustomMetric("Low share", "count_if(band = 'low') / count(1)")
+seg("seg_custom_metric", Segmentation(TIME, "week", (EventQuery(EventRef("click"), (CountEvents(), _own, Formula("m0 * m1")), ("plan",)),)), " UNION ALL ".join([
+    rows_sql("Count Events", "count(event)", unit="week", keys="plan"), rows_sql("Low share", "count(*) FILTER (band = 'low') / count(*)", unit="week", keys="plan"), rows_sql("m0 * m1", "count(*) FILTER (band = 'low')", unit="week", keys="plan")]))
 MULTI = Segmentation(TIME, "week", (EventQuery(EventRef("click"), (CountEvents(), AggregateProperty("value", "sum")), ("band",)), EventQuery(EventRef("view"), (CountUniqueGroups(),), ("plan",))))
 seg("seg_multi_event_merge", MULTI, " UNION ALL BY NAME ".join([
     rows_sql("Count Events", "count(event)", unit="week", keys="band"), rows_sql("Sum value", "sum(value)", unit="week", keys="band"),
@@ -443,6 +447,41 @@ _lines = f"""(SELECT *, row_number() OVER (ORDER BY created_at, source_id, place
 add("ingest_track", _tracked, f"""SELECT event, created_at::DATE::TIMESTAMP AS day, count(*) AS n, count(DISTINCT who) AS users, round(sum(value)::DOUBLE, 4) AS price, count(medium) AS campaigns, sum(id)::BIGINT AS ids FROM {_lines} GROUP BY ALL""")
 
 
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """The requests as files, taken as a stream of several batches that is stopped and goes on."""
+    folder, to = new_path(s, "requests"), Ingest(s, new_path(s, "ingest"), s.createDataFrame([("t", 1)], "token string, project_id long"), GAP)
+    asked = _requests(s, d).select(F.lit("t").alias("token"), "body")
+    for part in (0, 1):
+        asked.where(F.pmod(F.xxhash64("body"), F.lit(2)) == part).coalesce(3).write.mode("append").json(folder)
+        requests = s.readStream.schema("token string, body string").option("maxFilesPerTrigger", 2).json(folder)
+        to.stream(requests, f"{to.events.path}-checkpoint", once=True).awaitTermination()
+    rows = to.events.scan().where(F.col("event") != sessions.BEGIN)
+    price = to.catalog().properties["Price"].column
+    return plain(rows.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.sum(price).alias("price"), F.countDistinct("event_id").alias("ids")))
+
+
+add("ingest_stream", _streamed, f"SELECT event, count(*) AS n, round(sum(value)::DOUBLE, 4) AS price, count(*) AS ids FROM {EVENTS} GROUP BY event")
+
+
+def _csv(s: SparkSession, d: str) -> DataFrame:
+    path, e = new_path(s, "csv"), clickstream(s, d).select("event_id", "event", "created_at", "value", "band")
+    e.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+    return plain(csv_events(s, path, e.schema))
+
+
+add("csv_round_trip", _csv, f"SELECT event_id, event, created_at, round(value::DOUBLE, 4) AS value, band FROM {EVENTS}")
+
+
+def _shown(s: SparkSession, d: str) -> DataFrame:
+    """A result as compact JSON by column, read again."""
+    rows = clickstream(s, d).groupBy("event").agg(F.avg("value").alias("mean"), F.max(F.when(F.col("event") == "click", F.col("k"))).alias("top")).orderBy("event")
+    columns = json.loads(compact_json(rows))
+    return s.createDataFrame(list(zip(*columns, strict=True)), "event string, mean double, top double")
+
+
+add("compact_json", _shown, f"SELECT event, round((sum(value) / count(value))::DOUBLE, 3) AS mean, coalesce(max(k) FILTER (event = 'click'), 0)::DOUBLE AS top FROM {EVENTS} GROUP BY event")
+
+
 def _identified(s: SparkSession, d: str) -> DataFrame:
     to = Ingest(s, new_path(s, "ingest"), s.createDataFrame([("t", 1)], "token string, project_id long"))
     v = customer_versions(s, d)
