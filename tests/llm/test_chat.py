@@ -7,16 +7,15 @@ TURNS = "conv_id long, turn long, role string, text string, h1 string, i long"
 
 def brute(rows):
     convs = {}
-    for conv, turn, role, text in set(rows):
-        convs.setdefault(conv, []).append((turn, role, text))
+    for i, (conv, turn, role, text) in enumerate(sorted(set(rows), key=str)):
+        convs.setdefault((conv is None, i if conv is None else conv), []).append((turn, role, text))
     key = {c: [x[1:] for x in sorted(t, key=lambda x: (x[0] is not None, x[0] or 0))] for c, t in convs.items()}
     out = []
     for c, k in key.items():
         same = [d for d in key if key[d] == k]
-        ids = [d for d in same if d is not None]
-        if c != (min(ids) if ids else None) or any(len(o) > len(k) and o[: len(k)] == k for o in key.values()):
+        if c != min(same) or any(len(o) > len(k) and o[: len(k)] == k for o in key.values()):
             continue
-        out.append((c, len(k), len(same), "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in k)))
+        out.append((None if c[0] else c[1], len(k), len(same), "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in k)))
     return sorted(out, key=str)
 
 
@@ -26,7 +25,7 @@ def test_same_as_all_pairs(spark):
     for conv in range(150):
         n = r.randint(1, 5)
         rows += [(conv, t, ["user", "assistant"][t % 2], r.choice(["hi", "yes", "a\nb"]) if t else "hello") for t in range(n)]
-    rows += [(200, 0, None, "x"), (201, 0, "", "x"), (202, 0, None, "x"), (202, 1, "user", None), (None, 0, "user", "hello"), (203, None, "user", "first"), (203, 0, "user", "second")]
+    rows += [(200, 0, None, "x"), (201, 0, "", "x"), (202, 0, None, "x"), (202, 1, "user", None), (None, 0, "user", "hello"), (None, 1, "user", "lone"), (None, 2, "user", "lone"), (None, None, None, None), (203, None, "user", "first"), (203, 0, "user", "second")]
     rows += rows[:7]
     turns = spark.createDataFrame([(*x, "clash", 5) for x in rows], TURNS)
     assert sorted((tuple(x) for x in C.collapse(turns).collect()), key=str) == brute(rows)
@@ -39,6 +38,24 @@ def test_long_conversation_and_empty(spark):
     assert C.collapse(spark.createDataFrame([], TURNS)).collect() == []
 
 
+def test_conversations_over_many_parts(spark):
+    """Conversations of all lengths, the longest of which fill whole parts."""
+    rows = [(c, t, "user", f"{t % 7}") for c, n in enumerate([2000, 1, 1, 1999, 3, 2500, 1, 700, 2500]) for t in range(n)] + [(50, 0, "user", "x")]
+    turns = spark.createDataFrame([(*x, "", 0) for x in rows], TURNS)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((tuple(x) for x in C.collapse(turns).collect()), key=str)
+        hashes = C.prefix_hashes(turns).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert got == brute(rows)
+    by = {(r["conv"]["conv_id"], r["i"]): (r["p1"], r["p2"]) for r in hashes}
+    assert len(by) == len(rows) and len({*by.values()}) == 2501 and all(by[0, i] == by[5, i] for i in range(1, 2001))
+
+
 def test_no_python_in_the_plan(spark):
     plan = C.collapse(spark.createDataFrame([(1, 0, "u", "t", "", 0)], TURNS))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
