@@ -263,6 +263,7 @@ class Funnel:
     group: str = "group_0"
     project_id: int = 1
     session_gap: timedelta | None = None  # attempts then stay within a session
+    fold: Literal["arrays", "rows"] = "arrays"  # rows: for users with so many events that they fit no array
     least: timedelta | None = None  # bounds of the chart of times to convert
     most: timedelta | None = None
 

@@ -1,4 +1,5 @@
-"""Funnels: a greedy walk over each user's events, as one fold over a sorted array, inside the JVM.
+"""Funnels: a greedy walk over each user's events, as one fold over a sorted array, inside the JVM; or over rows sorted within
+partitions, in Python, which holds one attempt at a time and so takes users with any number of events.
 
 An attempt is the list of steps a user has matched in order. Per event, in this order: an exclusion drops the running
 attempt, the window closes it, another value of a held constant drops it, and the event is matched to the step waited for.
@@ -6,10 +7,14 @@ Dropped attempts are not counted; closed, completed and last ones are."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..catalog import Catalog
 from ..functions.buckets import bucket, from_micros, instant, micros
@@ -45,6 +50,9 @@ def attempts(events: DataFrame, f: Funnel, catalog: Catalog) -> DataFrame:
         text(f.breakdowns if f.touch != "row" else ()).alias("b"),
     )
     keys = [F.col(f.group), *[F.col(f"`{catalog.column(b)}`").alias(b) for b in by], *([F.col("_session")] if "_session" in base.columns else [])]
+    if f.fold == "rows":
+        found = _fold_rows(base.select(*keys, row.alias("r")).select(*[F.col(k) for k in (f.group, *by)], *(["_session"] if "_session" in base.columns else []), "r.*"), f, by)
+        return _counted(found.select(f.group, *by, "st"), f)
     rows = base.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     start = F.struct(
         F.array().cast(f"array<{_STEP}>").alias("st"), F.lit(0).alias("used"), F.lit(None).cast("array<string>").alias("c"), F.array().cast(f"array<array<{_STEP}>>").alias("out"),
@@ -98,7 +106,64 @@ def attempts(events: DataFrame, f: Funnel, catalog: Catalog) -> DataFrame:
         return F.when(a["done"], a).otherwise(run(a))
 
     folded = F.aggregate("rows", start, step, lambda a: F.when(F.size(a["st"]) > 0, F.concat(a["out"], F.array(a["st"]))).otherwise(a["out"]))
-    found = rows.select(f.group, *by, F.explode(folded).alias("st")).withColumn("n", F.size("st"))
+    return _counted(rows.select(f.group, *by, F.explode(folded).alias("st")), f)
+
+
+def _walk(batches: Iterator[pa.RecordBatch], f: Funnel, keys: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    n, span = len(f.steps), int(f.window.total_seconds() * 1e6)
+    who: tuple | None = None
+    st: list[dict] = []
+    used, held, done, out = 0, None, False, []
+
+    def emit() -> None:
+        out.append(dict(zip(keys, who, strict=True)) | {"st": st})
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            key = tuple(r[k] for k in keys)
+            if key != who:
+                if st:
+                    emit()
+                who, st, used, held, done = key, [], 0, None, False
+            if done:
+                continue
+            if st and any(x and (e.steps is None or e.steps[0] <= len(st) <= e.steps[1]) for x, e in zip(r["x"], f.exclude, strict=True)):
+                st, used = [], 0
+            if st and r["t"] - st[0]["t"] > span:
+                emit()
+                st, used = [], 0
+            if f.constants and st and held != r["c"]:
+                st, used = [], 0
+            at = len(st)
+            within = next(((a, b) for a, b in f.any_order if a <= at <= b), None)
+            step = next((j for j in range(within[0], within[1] + 1) if r["f"][j] and not used >> j & 1), None) if within else at if r["f"][at] else None
+            if step is None:
+                continue
+            held = r["c"] if not st else held
+            st, used = [*st, {"t": r["t"], "b": r["b"]}], used | 1 << step
+            if len(st) == n:
+                emit()
+                st, used, done = [], 0, f.count == "unique"
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out = []
+    if st:
+        emit()
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
+def _fold_rows(rows: DataFrame, f: Funnel, by: list[str]) -> DataFrame:
+    keys = [c for c in (f.group, *by, "_session") if c in rows.columns]
+    types = {x.name: x.dataType for x in rows.schema.fields}
+    out = T.StructType([*[T.StructField(k, types[k]) for k in keys], T.StructField("st", T.ArrayType(T._parse_datatype_string(_STEP)))])
+    placed = rows.repartition(*[F.col(f"`{k}`") for k in keys]).sortWithinPartitions(*[F.col(f"`{k}`") for k in keys], "t", "id")
+    return placed.mapInArrow(partial(_walk, f=f, keys=keys, schema=to_arrow_schema(out)), out)
+
+
+def _counted(found: DataFrame, f: Funnel) -> DataFrame:
+    """Attempts that the request's filter lets pass, with n and, by its touch, breakdown values."""
+    n = len(f.steps)
+    found = found.withColumn("n", F.size("st"))
     if f.filter is not None:
         took = F.element_at("st", -1)["t"] - F.get("st", F.lit(0))["t"]
         found = found.where({

@@ -308,6 +308,9 @@ STEPS = ((EventRef("signup"),), (EventRef("click"),), (EventRef("purchase"),))
 S = ["event = 'signup'", "event = 'click'", "event = 'purchase'"]
 W3 = timedelta(days=3)
 funnel_query("steps", Funnel(TIME, STEPS, W3), report_sql(attempts_sql(S, 3), 3))
+for _name, _more in (("steps", {}), ("breakdown", {"breakdowns": ("band",), "window": timedelta(days=9)})):
+    _days, _by = _more.get("window", W3).days, "band" if _more else ""
+    funnel_query(f"{_name}_by_rows", replace(Funnel(TIME, STEPS, W3), fold="rows", **_more), report_sql(attempts_sql(S, _days, keys=_by), 3, keys=_by))
 funnel_query("unique", Funnel(TIME, STEPS, W3, count="unique"), report_sql(attempts_sql(S, 3, unique=True), 3))
 funnel_query("or_steps", Funnel(TIME, (STEPS[0], (EventRef("click", (Filter("k", "lt", (40,)),)), EventRef("view")), STEPS[2]), W3), report_sql(attempts_sql([S[0], "(event = 'click' AND k < 40) OR event = 'view'", S[2]], 3), 3))
 funnel_query("five_steps", Funnel(TIME, (*STEPS, (EventRef("click"),), (EventRef("view"),)), timedelta(days=6)), report_sql(attempts_sql([*S, S[1], "event = 'view'"], 6), 5))

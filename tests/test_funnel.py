@@ -1,6 +1,7 @@
 """The fold against a plain walk, on fixed cases and on random sequences."""
 
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -56,6 +57,9 @@ def walk(rows, f):
 
 
 def run(spark, rows, f):
+    """Attempts by the fold over arrays, which have to be those of the fold over rows."""
+    found = [sorted(map(str, op.attempts(frame(spark, rows), replace(f, fold=how), Catalog()).collect())) for how in ("arrays", "rows")]
+    assert found[0] == found[1]
     return sorted((r["group_0"], r["n"]) for r in op.attempts(frame(spark, rows), f, Catalog()).collect())
 
 
