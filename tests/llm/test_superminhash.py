@@ -104,3 +104,44 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {x["node"]: x["component_id"] for x in components(links).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_large_family_needs_few_pairs(spark, width, monkeypatch):
+    """2,500 near copies of a text that is not among them, changed a little or more: the pairs that are compared grow with the
+    members, not with their square, and the components are those of all pairs."""
+    r = random.Random(7)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(2500):
+        words = list(base)
+        for k in r.sample(range(150), r.choice([1, 2, 2, 3, 4, 6, 9])):
+            words[k] = f"x{r.randrange(400)}"
+        rows.append((i, " ".join(words)))
+    counts = []
+    missed = S._missed
+
+    def counted(*args):
+        found = missed(*args)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(S, "_missed", counted)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = {x["doc_id"]: x["component_id"] for x in S.near_duplicates(docs, width=width).collect()}
+    sets = [{tuple(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (t.split() for _, t in rows)]
+    number = {x: j for j, x in enumerate({x for s in sets for x in s})}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[x] for x in s]] = 1
+    both, size = has @ has.T, has.sum(1)
+    linked = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    comp = np.arange(len(sets))
+    while True:
+        least = np.where(linked, comp[None, :], len(sets)).min(1)
+        least = least[least]
+        if (least == comp).all():
+            break
+        comp = least
+    assert [got[i] for i in range(len(sets))] == comp.tolist() and len({*comp.tolist()}) > 10
+    assert counts[0] < 10 * len(rows)
