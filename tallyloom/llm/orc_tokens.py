@@ -7,7 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from .common import new_path
 from .superminhash import stretches
 
 #: Words whose ids a worker remembers; beyond that it starts anew.
-MEMO = 1_000_000
+MEMO = 600_000
 #: A pass over texts handles so many bytes at a time.
 CHUNK_BYTES = 8 << 20
 END_ID = 1
@@ -129,12 +129,18 @@ class WordEncoder:
         return _pick(np.array(ids, "<i4"), (np.cumsum(size) - size)[order], size[order])[0], size[order]
 
 
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker: what it has learned serves the next ones."""
+    return WordEncoder(path)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, part, done = WordEncoder(path), TaskContext.get().partitionId(), 0
+    words, part, done = encoder(path), TaskContext.get().partitionId(), 0
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
         for a, b in stretches(size, CHUNK_BYTES):
-            ids, begins = encoder.encode(batch.column(1)[a:b], end_id)
+            ids, begins = words.encode(batch.column(1)[a:b], end_id)
             lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids))
             columns = [batch.column(0)[a:b], pa.array(np.full(b - a, part, np.int32)), pa.array(done + begins[:-1]), pa.array(np.diff(begins), pa.int32()), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "part_start", "n_tokens", "ids"])
