@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cache, partial
 from itertools import product
 
 import numpy as np
@@ -139,6 +139,12 @@ class Templates:
         return Symbols(self.words, code[real], owner[real], opening[real], forms, as_it_stands[lit], owner[lit])
 
 
+@cache
+def _templates() -> Templates:
+    """One for all tasks of a worker: what it has learned of words serves the next ones."""
+    return Templates()
+
+
 def _parts(word: str) -> tuple[str, ...]:
     if word[:1].isdigit() and (m := _GLUED.fullmatch(word.rstrip(".,;:!?"))) and m[2].lower() in UNITS:
         return m[1], m[2] + word[m.end() :]
@@ -206,7 +212,7 @@ def _windows(s: Symbols, widths: list[int], exact: list[int], whole: int, bits:
 
 def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], exact: list[int], whole: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """A row for each of _windows."""
-    templates = Templates()
+    templates = _templates()
     for batch in batches:
         size = pc.binary_length(batch.column(2)).to_numpy()
         for a, b in stretches(size, CHUNK_BYTES):
