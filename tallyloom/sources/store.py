@@ -30,10 +30,6 @@ WHOLE = 20
 GRACE = 24 * 3600
 
 
-class Conflict(RuntimeError):
-    """Another writer has changed what this one has read."""
-
-
 @dataclass
 class State:
     """What the commits up to number n add up to. batches: of each stream the last batch that is in; notes: numbers that came with

@@ -12,7 +12,7 @@ from tallyloom.plans import segmentation
 from tallyloom.sources.events import as_of, latest
 from tallyloom.sources.store import Table, columns_json, compact_json, csv_events
 from tallyloom.streaming import ingest, sessions
-from tallyloom.streaming.executors import Ingest
+from tallyloom.streaming.executors import Ingest, debug
 
 T0 = datetime(2024, 1, 1)
 EVENTS = "project_id long, group_0 long, created_at timestamp_ntz, event_id long, event string"
@@ -326,3 +326,12 @@ def test_identify_end_to_end(spark, store, tmp_path):
 def test_results_as_json_by_column(spark):
     df = spark.createDataFrame([("a", T0, None), ("b", None, 2.5)], f"k string, t timestamp_ntz, v {DECIMAL.simpleString()}".replace("v decimal(28,16)", "v double"))
     assert json.loads(columns_json(df.orderBy("k"))) == [{"name": "k", "dataType": "string", "data": ["a", "b"]}, {"name": "t", "dataType": "timestamp_ntz", "data": [str(T0), None]}, {"name": "v", "dataType": "double", "data": [None, 2.5]}]
+
+
+def test_debug_sink(spark, tmp_path, capsys):
+    assert debug(spark.createDataFrame([("shown",)], "v string")) is None and "shown" in capsys.readouterr().out
+    spark.createDataFrame([("shown",)], "v string").write.text(str(tmp_path / "in"))
+    query = debug(spark.readStream.text(str(tmp_path / "in")))
+    query.processAllAvailable()
+    assert query.lastProgress["numInputRows"] == 1
+    query.stop()
