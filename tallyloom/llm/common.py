@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
@@ -128,14 +127,3 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def crc32_text(column: str):
     """crc32 of an integer's decimal text, as zlib has it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
-
-
-def batches_of(it: Iterator, size: int) -> Iterator[list]:
-    held = []
-    for x in it:
-        held.append(x)
-        if len(held) >= size:
-            yield held
-            held = []
-    if held:
-        yield held
