@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import ctypes
+import gc
+from collections.abc import Callable
+from contextlib import suppress
+from functools import reduce, wraps
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +34,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
+def tidy(f: Callable) -> Callable:
+    """Of a function over Arrow batches: at the end of a task its worker, which waits for the next one, gives memory back."""
+
+    @wraps(f)
+    def run(*args, **options):
+        yield from f(*args, **options)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # only where the C library is the usual one
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, without
+from .common import settle, tidy, without
 from .superminhash import mix, stretches
 
 WINDOW, COVERAGE = 5, 0.8
@@ -48,7 +48,7 @@ _SYMBOL = [("k", "i1"), ("n", "?"), ("e", "?"), ("h", "u8"), ("l", "u8")]
 #: Words that a worker remembers.
 MEMO = 600_000
 #: A pass over texts handles so many bytes at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _xxh = xxhash.xxh3_64_intdigest
 
 
@@ -204,6 +204,7 @@ def _windows(s: Symbols, widths: list[int], exact: list[int], whole: int, bits:
             yield rolled[p], s.literal_owner[p], p - begins[s.literal_owner[p]], [[]] * len(p), LITERAL
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch], widths: list[int], exact: list[int], whole: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """A row for each of _windows."""
     templates = Templates()
@@ -227,6 +228,7 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).where(text.isNotNull())
 
 
+@tidy
 def _length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     templates = Templates()
     for batch in batches:

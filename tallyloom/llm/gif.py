@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, tidy
 from .superminhash import chunks
 
 #: A unit of payload is a square of SIDE x SIDE pixels; a frame is as wide and holds up to UNITS of them.
@@ -237,6 +237,7 @@ def padded(text: bytes) -> bytes:
     return text + FILL * (max(1, -(-len(text) // UNIT_BYTES)) * UNIT_BYTES - len(text))
 
 
+@tidy
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
@@ -246,6 +247,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(t) for t in part], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
+@tidy
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: tuple[list, ...] = tuple([] for _ in range(9))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .superminhash import chunks
 
 #: Elements by what HTML says of them.
@@ -443,6 +444,7 @@ def main_text(page: str | None) -> str:
     return " ".join(b.text for b, keep in zip(found, label(found), strict=True) if keep)
 
 
+@tidy
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages = batch.column(2).to_pylist()

@@ -16,13 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, tidy
 from .superminhash import stretches
 
 #: Words whose ids a worker remembers; beyond that it starts anew.
 MEMO = 1_000_000
 #: A pass over texts handles so many bytes at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 END_ID = 1
 #: ASCII punctuation but the apostrophe, with which some pieces begin.
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
@@ -129,6 +129,7 @@ class WordEncoder:
         return _pick(np.array(ids, "<i4"), (np.cumsum(size) - size)[order], size[order])[0], size[order]
 
 
+@tidy
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, part, done = WordEncoder(path), TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -171,6 +172,7 @@ def read_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -
     return df if doc_ids is None else df.where(F.col("doc_id").isin(doc_ids))
 
 
+@tidy
 def _digest(batches: Iterator[pa.RecordBatch], base: dict[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, part, start, _, ids = batch.columns

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, release, settle, without
+from .common import lookup, release, settle, tidy, without
 from .superminhash import chunks
 
 #: At most so many labelled documents, the first by a hash of doc_id, are used to fit the model.
@@ -56,6 +56,7 @@ def features(text: bytes) -> list[float]:
     ]
 
 
+@tidy
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(3).cast(pa.binary()).to_pylist()

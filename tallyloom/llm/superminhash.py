@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, lookup, release, row_hash, same_row, settle, sift, without
+from .common import bit_filter, lookup, release, row_hash, same_row, settle, sift, tidy, without
 from .components import components
 
 #: Bands x rows a band = length of the signature. At a similarity of 0.8 a pair shares none of 32 bands of 4 rows with
@@ -124,6 +124,7 @@ def chunks(texts: list[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[i
     return stretches((len(t or "") for t in texts), size)
 
 
+@tidy
 def _profile(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(width)
     for batch in batches:
@@ -140,6 +141,7 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: in
             )
 
 
+@tidy
 def _tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     shingler = Shingler(width)
     for batch in batches:

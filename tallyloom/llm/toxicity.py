@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_text, release, settle
+from .common import crc32_text, release, settle, tidy
 from .superminhash import chunks
 
 #: At most so many labelled documents, the first by a hash of doc_id, are used for training; of those that share a doc_id one.
@@ -218,6 +218,7 @@ def _threshold(score: np.ndarray, y: np.ndarray, prior: float = 2.0) -> float:
     return at
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for batch in batches:
@@ -231,6 +232,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[1:]), score], names=["doc_id", "lang", "score"])
 
 
+@tidy
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task trains, as the sample is bounded; the driver gets the model only. Rows are taken in the order of doc_id."""
     hasher, rows = Hasher(), []
