@@ -426,9 +426,9 @@ add("grouped_conditions", lambda s, d: clickstream(s, d).where(conditions((Filte
 
 
 def _ingested(s: SparkSession, d: str) -> Ingest:
-    """All requests of the events, in two batches by time, the second of them twice."""
+    """All requests of the events, in two batches by time, the second of them twice; they came in in the order of event_id."""
     to = Ingest(s, new_path(s, "ingest"), s.createDataFrame([("t", 1)], "token string, project_id long"), GAP)
-    asked = _requests(s, d).select(F.lit("t").alias("token"), "body", F.get_json_object("body", "$.timestamp").alias("at")).persist()
+    asked = _requests(s, d).select(F.lit("t").alias("token"), "body", F.col("event_id").alias("position"), F.get_json_object("body", "$.timestamp").alias("at")).persist()
     for number, part in ((0, F.col("at") < "2024-01-15"), (1, F.col("at") >= "2024-01-15"), (1, F.col("at") >= "2024-01-15")):
         to.track(asked.where(part).drop("at"), number)
     asked.unpersist()

@@ -144,7 +144,7 @@ class Ingest:
         found = batch.join(self.projects.select("token", "project_id"), "token", "left")
         schema = (ingest.TRACK if kind == "track" else ingest.IDENTIFY).replace("properties map<string,string>", "properties map<string,variant>")
         once = found.withColumn("r", F.explode(F.array(F.from_json("body", schema))))
-        return once.select("token", "body", "project_id", "r.*", *(["received"] if "received" in batch.columns else []))
+        return once.select("token", "body", "project_id", "r.*", *[c for c in ("received", "position") if c in batch.columns])
 
     def _reject(self, requests: DataFrame, batch: tuple[str, int]) -> DataFrame:
         bad = requests.where("reason is not null").select(*[F.col(c).cast("string") for c in ("token", "body", "reason")])
@@ -152,15 +152,17 @@ class Ingest:
         return requests.where("reason is null").drop("token", "body", "reason")
 
     def track(self, batch: DataFrame, number: int, stream: str = "track") -> int:
-        """Takes batch (token, body, perhaps received: when a request without a timestamp came in) as the stream's batch of this
-        number; how many rows events has got.
+        """Takes batch (token, body, perhaps received: when a request without a timestamp came in, perhaps position: the place in
+        the order in which requests came in) as the stream's batch of this number; how many rows events has got.
+
+        Requests of one time go by position, those without one by a hash of their text.
 
         Rejected, with the reason, are requests of unknown tokens, without an event or without a user, that are no JSON, or that
         would need a sixth group. Before the first event of a session comes a Session Begin with the request's campaign."""
         name = (stream, number)
         asked = self._requests(batch, "track")
         at = F.coalesce("timestamp", F.col("received").cast("timestamp_ntz") if "received" in batch.columns else F.lit(None))
-        asked = asked.withColumn("created_at", at).withColumn("asked", F.xxhash64("body"))
+        asked = asked.withColumns({"created_at": at, "asked": F.xxhash64("body")} | ({} if "position" in batch.columns else {"position": F.lit(None).cast("long")}))
         names = asked.where("project_id is not null").select("project_id", F.explode(F.map_keys("groups")).alias("name"))
         groups = self._groups(names, name)
         numbers = groups.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "number"))).alias("numbers"))  # at most five a project
@@ -201,7 +203,7 @@ class Ingest:
 
         before = latest(self.sessions.raw(), ("project_id", "group_0")).select("project_id", "group_0", F.col("last").alias("_last"), F.col("began").alias("_began"), F.col("ended").alias("_ended"), F.col("version").alias("_version"))
         rows = rows.join(before, ["project_id", "group_0"], "left")
-        order = Window.partitionBy("project_id", "group_0").orderBy("created_at", "asked")
+        order = Window.partitionBy("project_id", "group_0").orderBy("created_at", "position", "asked")
         previous = F.coalesce(F.lag("created_at").over(order), F.when(F.coalesce(F.col("_ended"), F.lit(False)), None).otherwise(F.col("_last")))
         wide = int(self.gap.total_seconds() * 1_000_000)
         begins = F.coalesce(micros(F.col("created_at")) - micros(F.col("_previous")) > wide, F.lit(True))
@@ -211,7 +213,7 @@ class Ingest:
             F.greatest(F.max("created_at"), F.first("_last")).alias("last"), F.lit(False).alias("ended"),
         )
         own_names = [p.column for p in own]
-        shown = ["project_id", *[f"group_{i}" for i in range(MAX_GROUPS)], "created_at", "asked", "ip", *_CLIENT, "country", "city"]
+        shown = ["project_id", *[f"group_{i}" for i in range(MAX_GROUPS)], "created_at", "position", "asked", "ip", *_CLIENT, "country", "city"]
         plain = rows.select(*shown, "event", F.lit(1).alias("_at"), *[F.lit(None).cast("string").alias(c) for c in _UTM], *own_names)
         begun = rows.where("_begins").select(*shown, F.lit(BEGIN).alias("event"), F.lit(0).alias("_at"), *_UTM, *own_names)
         done = self._number(plain.unionByName(begun), name)
@@ -221,9 +223,9 @@ class Ingest:
         return done
 
     def _number(self, rows: DataFrame, batch: tuple[str, int]) -> int:
-        """Puts rows into events, numbered per project in the order of time, after those given so far."""
+        """Puts rows into events, numbered per project in the order of time, position and hash, after those given so far."""
         notes = self.events.state().notes
-        counted = numbered_by(rows, "project_id", ["created_at", "asked", "_at"], "_n").drop("asked", "_at").persist()
+        counted = numbered_by(rows, "project_id", ["created_at", "position", "asked", "_at"], "_n").drop("position", "asked", "_at").persist()
         sizes = {r["project_id"]: r["n"] for r in counted.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).collect()}
         done = 0
         if sizes:
@@ -239,7 +241,7 @@ class Ingest:
         catalog = self.catalog()
         idle = latest(self.sessions.raw(), ("project_id", "group_0")).where(~F.col("ended") & (F.col("last") + F.make_dt_interval(secs=F.lit(self.gap.total_seconds())) < instant(now))).persist()
         length = ((micros(F.col("last")) - micros(F.col("began"))) / 1_000_000).cast(DECIMAL)
-        rows = idle.select("project_id", "group_0", F.col("last").alias("created_at"), F.lit(END).alias("event"), F.xxhash64("group_0").alias("asked"), F.lit(2).alias("_at"), *([length.alias(catalog.properties[LENGTH].column)] if LENGTH in catalog.properties else []))
+        rows = idle.select("project_id", "group_0", F.col("last").alias("created_at"), F.lit(END).alias("event"), F.lit(None).cast("long").alias("position"), F.xxhash64("group_0").alias("asked"), F.lit(2).alias("_at"), *([length.alias(catalog.properties[LENGTH].column)] if LENGTH in catalog.properties else []))
         done = self._number(rows, (stream, number))
         self.sessions.insert(idle.withColumns({"version": F.col("version") + 1, "ended": F.lit(True)}), (stream, number))
         idle.unpersist()

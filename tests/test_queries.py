@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom import queries as Q
 
@@ -37,6 +38,19 @@ def test_same_rows_as_sql(spark, db, name):
     assert norm(tuple(r) for r in df.select(*[f"`{n}`" for n in names]).collect()) == norm(cursor.fetchall())
 
 
+def test_ingested_events_of_one_time_go_by_event_id(spark, tmp_path):
+    """Copies of the events with shifted ids and users: each time stands three times."""
+    e = spark.read.parquet(f"{SF}/events.parquet").where("event_id < 100")
+    copies = e.crossJoin(spark.range(3)).withColumns({"event_id": F.col("event_id") + 100 * F.col("id"), "user_id": F.col("user_id") + 15 * F.col("id")}).drop("id")
+    copies.write.parquet(str(tmp_path / "events.parquet"))
+    got = Q.QUERIES["ingest_track"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    cursor = c.execute(Q.ORACLES["ingest_track"])
+    names = [d[0] for d in cursor.description]
+    assert norm(tuple(r) for r in got.select(*names).collect()) == norm(cursor.fetchall())
+
+
 def test_chart_caps_each_event_by_its_own_breakdowns(spark):
     rows = [("click", f"b{i}", None) for i in range(60)] + [("view", "b0", f"p{i}") for i in range(70)]
     events = spark.createDataFrame([(1, i, Q.START, e, b, p) for i, (e, b, p) in enumerate(rows)], "project_id long, group_0 long, created_at timestamp_ntz, event string, band string, plan string")

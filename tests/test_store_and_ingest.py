@@ -301,6 +301,15 @@ def test_a_batch_that_fails_midway_is_taken_once(spark, store, monkeypatch, fail
     check_tracked(store)
 
 
+def test_requests_of_one_time_go_by_position(spark, store):
+    body = lambda user, n: json.dumps({"userId": user, "event": f"e{n}", "timestamp": at(0), "context": {"campaign": {"source": f"s{n}"}}})
+    rows = [("t1", body(user, n), n) for n, user in enumerate("abcabcab")]
+    assert store.track(spark.createDataFrame(rows[::-1], "token string, body string, position long"), 0) == 11
+    found = [(r["event"], r["utm_source"]) for r in store.events.scan().orderBy("event_id").collect()]
+    begun = lambda n: [(sessions.BEGIN, f"s{n}"), (f"e{n}", None)]
+    assert found == [*begun(0), *begun(1), *begun(2), *[(f"e{n}", None) for n in range(3, 8)]]
+
+
 def test_identify_end_to_end(spark, store, tmp_path):
     rows = [
         [("t1", {"group": "user", "id": "u", "timestamp": at(0), "properties": {"Plan": "free", "Seats": 3}}), ("t1", {"group": "company", "id": "acme", "timestamp": at(0), "properties": {"Size": 9}}), ("t1", {"group": "user", "timestamp": at(0)})],
